@@ -40,7 +40,7 @@ class Settings:
     max_ngrams: int = 400_000
     min_docs: int = 5
     reject_deviations: float = 8.0
-    cached_words: int = 600_000
+    cached_words: int = 400_000
 
 
 @dataclass(frozen=True)
@@ -115,19 +115,21 @@ class _Scorer:
     """Scores words, remembering those seen before in a bounded sorted array."""
 
     def __init__(self, model: Model):
-        self.model, self.hash, self.row = model, np.zeros(0, np.uint64), np.zeros((0, len(model.langs)))
+        self.model, self.hash, self.row = model, np.zeros(0, np.uint64), np.zeros((0, len(model.langs)), np.float32)
 
     def rows(self, t: K.Texts, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray) -> np.ndarray:
         at, known = _find((self.hash, self.row), h)
-        out = np.zeros((len(h), len(self.model.langs)))
+        out = np.zeros((len(h), len(self.model.langs)), np.float32)
         out[known] = self.row[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
             raw = t.buf.tobytes()
-            a, b = starts[new], ends[new]
-            out[new] = word_scores(self.model, [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], lead[b] - lead[a])
+            for part in range(0, len(new), 16_384):  # bounds the arrays of a call
+                at_ = new[part : part + 16_384]
+                a, b = starts[at_], ends[at_]
+                out[at_] = word_scores(self.model, [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], lead[b] - lead[a])
             if len(self.hash) + len(new) > self.model.settings.cached_words:
-                self.hash, self.row = np.zeros(0, np.uint64), np.zeros((0, len(self.model.langs)))
+                self.hash, self.row = np.zeros(0, np.uint64), np.zeros((0, len(self.model.langs)), np.float32)
             both, rows = np.concatenate([self.hash, h[new]]), np.concatenate([self.row, out[new]])
             order = np.argsort(both, kind="stable")
             self.hash, self.row = both[order], rows[order]

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, quality, ruleclf, sharding, urlfilter
+from . import bpe, decontam, langid, neardup, quality, ruleclf, sharding, tokencount, tokenout, urlfilter
 from .common import in_learning_part, table
 
-_HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+def _held_out() -> Column:
+    return (~in_learning_part(F.col("doc_id"))).alias("held_out")
+
 
 #: The fixed rules of the URL query.
 URL_RULES = [
@@ -31,6 +35,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "url_verdict.*")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = quality.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return v.select("doc_id", "quality_verdict.*")
@@ -40,7 +48,26 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs.select("doc_id", "text"), docs.where(in_learning_part(F.col("doc_id"))))
     p = F.col("language")
-    return out.select("doc_id", _HELD_OUT.alias("held_out"), p["lang"].alias("lang_pred"), p["score"].alias("score"), p["rejected"].alias("rejected"))
+    return out.select("doc_id", _held_out(), p["lang"].alias("lang_pred"), p["score"].alias("score"), p["rejected"].alias("rejected"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenout.scratch_path(spark)
+    tokenout.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=1)
+    return tokenout.positions(spark, path)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = bpe.round_trip(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
+    out = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    return out.select("doc_id", F.col("t.n_tokens").alias("n_tokens"), F.sha2("t.ids", 256).alias("ids_sha256"), F.sha2(F.col("t.decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    n = tokencount.token_count(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select("doc_id", size.alias("n_bytes"), n.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,15 +76,19 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ruleclf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
-    return out.select("doc_id", _HELD_OUT.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_good").cast("int").alias("predicted"))
+    return out.select("doc_id", _held_out(), F.col("quality_score").alias("score"), F.col("quality_good").cast("int").alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_url_filter": op2_url_filter,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op5_language": op5_language,
+    "op6_token_files": op6_token_files,
+    "op7_bpe": op7_bpe,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
 }
 

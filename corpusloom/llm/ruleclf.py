@@ -82,27 +82,27 @@ class RuleModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-@F.arrow_udf("struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">")
-def _statistics(texts: pa.Array) -> pa.Array:
-    parts: list[np.ndarray] = []
-    for _, _, t in K.pieces(texts):
-        base, chars, _, _ = K.basic_counts(t)
-        words, length = np.maximum(base["n_words"], 1), np.maximum(base["word_chars"], 1)
-        lines = np.maximum(base["n_lines"], 1)
-        share = chars / length[:, None]
-        parts.append(
-            np.stack([
-                base["n_words"], base["word_chars"] / words, share[:, 1], share[:, 2], share[:, 3], share[:, 5], share[:, 6], share[:, 7],
-                base["n_dup_lines"] / lines, base["n_repeat_words"] / words, base["n_distinct_words"] / words, base["n_words"] / lines,
-            ])
-        )
-    table = np.concatenate(parts, axis=1) if parts else np.zeros((len(STATISTICS), 0))
-    return pa.StructArray.from_arrays([pa.array(row, pa.float64()) for row in table], names=list(STATISTICS))
-
-
 def statistics(text: Column) -> Column:
     """The statistics of a text as a struct of doubles; zeros for null."""
-    return _statistics(text)
+
+    @F.arrow_udf("struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">")
+    def run(texts: pa.Array) -> pa.Array:
+        parts: list[np.ndarray] = []
+        for _, _, t in K.pieces(texts):
+            base, chars, _, _ = K.basic_counts(t)
+            words, length = np.maximum(base["n_words"], 1), np.maximum(base["word_chars"], 1)
+            lines = np.maximum(base["n_lines"], 1)
+            share = chars / length[:, None]
+            parts.append(
+                np.stack([
+                    base["n_words"], base["word_chars"] / words, share[:, 1], share[:, 2], share[:, 3], share[:, 5], share[:, 6], share[:, 7],
+                    base["n_dup_lines"] / lines, base["n_repeat_words"] / words, base["n_distinct_words"] / words, base["n_words"] / lines,
+                ])
+            )
+        table = np.concatenate(parts, axis=1) if parts else np.zeros((len(STATISTICS), 0))
+        return pa.StructArray.from_arrays([pa.array(row, pa.float64()) for row in table], names=list(STATISTICS))
+
+    return run(text)
 
 
 def _paths(node, tests: tuple) -> list[tuple]:

@@ -2,7 +2,7 @@
 
 A batch of texts is one byte buffer plus offsets. Words, lines and their 64-bit hashes are found
 with whole-buffer numpy operations, so no Python code runs per word. Batches are cut into pieces
-of about two megabytes, which bounds memory however many or long the texts are.
+of about a megabyte, which bounds memory however many or long the texts are.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
