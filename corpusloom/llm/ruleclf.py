@@ -155,13 +155,14 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all of them by default) with ``quality_score`` and
     ``quality_good`` (the score is at least the threshold)."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("quality_score", "quality_good")]
+    stats, id_ = statistics(F.col("text")).alias("stats"), F.col("doc_id").alias("doc_id")
+    row = F.struct(*keep).alias("row")  # in a struct of their own, columns can't clash with ours
     if "text" in keep:
-        stats = statistics(F.col("text"))
-        learned = learn(materialise(docs.where(in_learning_part(F.col("doc_id"))).select("doc_id", stats.alias("stats"))), labels, settings)
-        rated = docs.select(*keep, stats.alias("_stats"))
+        learned = learn(materialise(docs.where(in_learning_part(F.col("doc_id"))).select(id_, stats)), labels, settings)
+        rated = docs.select(row, stats)
     else:
-        own = materialise(docs.select(*keep, statistics(F.col("text")).alias("_stats")))
-        learned = learn(own.select("doc_id", F.col("_stats").alias("stats")), labels, settings)
-        rated = own
-    return rated.select(*keep, learned.score("_stats").alias("quality_score")).withColumn("quality_good", F.col("quality_score") >= settings.threshold)
+        rated = materialise(docs.select(row, id_, stats))
+        learned = learn(rated, labels, settings)
+    out = rated.select(*[F.col("row")[c].alias(c) for c in keep], learned.score("stats").alias("quality_score"))
+    return out.withColumn("quality_good", F.col("quality_score") >= settings.threshold)

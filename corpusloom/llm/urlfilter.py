@@ -119,11 +119,11 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max_
             [pa.array([r and r.name for r in found], pa.string()), pa.array([r.verdict if r else default for r in found], pa.string())], names=["rule", "verdict"]
         )
 
-    url = F.col("url")
-    split = pages.withColumn("_host", host_of(url)).withColumn("_path", path_of(url))
-    judged = split.withColumn("_found", judge(F.col("_host"), F.col("_path")))
-    out = F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("verdict"))
-    return judged.withColumn("url_verdict", out).drop("_host", "_path", "_found")
+    url, kept = F.col("url"), [c for c in pages.columns if c != "url_verdict"]
+    # in a struct of their own, the columns of `pages` can't clash with ours
+    split = pages.select(F.struct(*kept).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
+    judged = split.select("*", judge(F.col("host"), F.col("path")).alias("found"))
+    return judged.select(*[F.col("row")[c].alias(c) for c in kept], F.struct("host", "path", "found.rule", "found.verdict").alias("url_verdict"))
 
 
 _tries: dict = {}
