@@ -179,11 +179,15 @@ _LATIN_TWINS, _CYRILLIC_TWINS = "ABCEHKMOPTXaceopxy", "АВСЕНКМОРТХа
 
 
 def homoglyphs(text: Column) -> Column:
-    """Words that mix scripts take the script of most of their letters."""
+    """Words that mix scripts take the script of their letters that look like no other; without
+    such letters, or with some of both, that of most letters."""
 
     def mend(m, *_):
+        own_latin = F.length(F.regexp_replace(m, f"[^A-Za-z]|[{_LATIN_TWINS}]", ""))
+        own_cyrillic = F.length(F.regexp_replace(m, f"[^А-Яа-яЁё]|[{_CYRILLIC_TWINS}]", ""))
         latin, cyrillic = F.length(F.regexp_replace(m, "[^A-Za-z]", "")), F.length(F.regexp_replace(m, "[^А-Яа-яЁё]", ""))
-        return F.when(cyrillic >= latin, F.translate(m, _LATIN_TWINS, _CYRILLIC_TWINS)).otherwise(F.translate(m, _CYRILLIC_TWINS, _LATIN_TWINS))
+        clear = (own_latin > 0) != (own_cyrillic > 0)
+        return F.when(F.when(clear, own_cyrillic > 0).otherwise(cyrillic >= latin), F.translate(m, _LATIN_TWINS, _CYRILLIC_TWINS)).otherwise(F.translate(m, _CYRILLIC_TWINS, _LATIN_TWINS))
 
     return regex_map(text, r"(?=\p{L}*[A-Za-z])(?=\p{L}*[А-Яа-яЁё])(?<!\p{L})\p{L}+", 0, mend)
 
