@@ -30,7 +30,7 @@ from .bpe import byte_characters
 from .common import materialise, shared_dir
 
 SCHEMA = "doc_id bigint, ids array<int>"
-_CHUNKS, _PIECES = 400_000, 300_000
+_CHUNKS, _PIECES = 900_000, 600_000
 
 
 class ChunkEncoder:
@@ -64,7 +64,13 @@ class ChunkEncoder:
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if any(s in chunk for s in self.special):
+        body = text.rstrip(".,;:!?")
+        if body.isalpha() and self.simple.fullmatch(body):  # a word, and perhaps marks after it
+            low = body.lower()
+            found = self._piece(low if low.isascii() else low.encode().decode("latin-1").translate(self.letters))
+            if len(body) < len(text):
+                found += self._piece(text[len(body) :])
+        elif any(s in chunk for s in self.special):
             found = np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
         elif self.simple.fullmatch(text):
             words = self.pattern.findall(text.lower())
