@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numerals as N
 from ..functions import rules as R
+from ..functions import slavic as V
 from ..operators import corpus as C
 from ..operators import lexicon as L
 from ..operators import pcm as P
@@ -411,3 +412,48 @@ def arbitration(spark, sf_dir):
 @query("SELECT vec_id, list_position(embedding, list_max(embedding)) AS place FROM embeddings")
 def first_argmax(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", L.first_argmax(F.col("embedding")).cast("int").alias("place"))
+
+
+def _slavic_sql(n: str, lang: str, feminine: bool) -> str:
+    """Below a million, nominative."""
+
+    def under(x: str, female: bool) -> str:
+        u, t, h = V.small_words(lang, "nom", female)
+        rest = f"(({x}) % 100)"
+        return (
+            f"concat_ws(' ', nullif({_list(h)}[({x}) // 100 + 1], ''), CASE WHEN {rest} < 20 THEN nullif({_list(u)}[{rest} + 1], '') "
+            f"ELSE concat_ws(' ', {_list(t)}[{rest} // 10 + 1], nullif({_list(u)}[{rest} % 10 + 1], '')) END)"
+        )
+
+    table = V._NUMERALS[lang, "nom"]
+    high = f"nullif(({n}) // 1000, 0)"
+    thousand = f"CASE WHEN ({n}) >= 1000 THEN {under(high, True)} || ' ' || {_plural_sql(high, *table.scales[0])} END"
+    return f"CASE WHEN ({n}) = 0 THEN '{table.zero}' ELSE concat_ws(' ', {thousand}, nullif({under(f'({n}) % 1000', feminine)}, '')) END"
+
+
+def _slavic_queries(lang: str, noun: tuple[str, str, str]) -> None:
+    def balance(spark, sf_dir):
+        """Whole balances in words."""
+        n = F.floor(F.abs("c_acctbal")).cast("long")
+        return _t(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", V.cardinal(n, lang), V.plural(n, noun)).alias("said"))
+
+    def day(spark, sf_dir):
+        """Order dates rendered as dd.mm. and read back."""
+        return _t(spark, sf_dir, "orders").select("o_orderkey", V.day_month(F.date_format("o_orderdate", "dd.MM."), lang).alias("said"))
+
+    def clock(spark, sf_dir):
+        return _t(spark, sf_dir, "events").select("event_id", V.times(F.date_format("ts", "HH:mm"), lang).alias("said"))
+
+    QUERIES[f"balance_words_{lang}"] = balance
+    ORACLE_SQL[f"balance_words_{lang}"] = f"SELECT c_custkey, {_slavic_sql('n', lang, False)} || ' ' || {_plural_sql('n', *noun)} AS said FROM (SELECT c_custkey, floor(abs(c_acctbal))::BIGINT AS n FROM customer)"
+    QUERIES[f"order_day_words_{lang}"] = day
+    ORACLE_SQL[f"order_day_words_{lang}"] = f"SELECT o_orderkey, {_list(V.day_words(lang))}[day(o_orderdate)] || ' ' || {_list(V.MONTHS[lang])}[month(o_orderdate)] AS said FROM orders"
+    QUERIES[f"event_time_words_{lang}"] = clock
+    ORACLE_SQL[f"event_time_words_{lang}"] = (
+        f"SELECT event_id, {_slavic_sql('h', lang, True)} || ' ' || {_plural_sql('h', *V.HOURS[lang])} || ' ' || {_slavic_sql('m', lang, True)} || ' ' || {_plural_sql('m', *V.MINUTES[lang])} AS said "
+        "FROM (SELECT event_id, hour(ts) AS h, minute(ts) AS m FROM events)"
+    )
+
+
+_slavic_queries("uk", ("гривня", "гривні", "гривень"))
+_slavic_queries("be", ("рубель", "рублі", "рублёў"))
