@@ -47,3 +47,11 @@ def in_learning_part(doc_id: Column) -> Column:
 def small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """``df`` to be broadcast if its counted ``rows`` are few; beyond that Spark shuffles as usual."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Keeps Arrow batches small: texts are long, and a batch is in memory on both sides of the
+    pipe to Python. Smaller settings of the caller's stay."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import materialise
+from .common import bound_batches, materialise
 
 UNKNOWN = "und"
 _PAD = 2  # a character that no word holds
@@ -318,6 +318,7 @@ def build_model(counts: dict[str, dict[str, int]], settings: Settings) -> Model:
 def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """A model from the rows of ``docs`` (doc_id, text, lang) that it is given."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
     per_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= settings.min_docs).collect()}
     if not per_lang:
@@ -347,5 +348,6 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
 
 def identify(docs: DataFrame, learn_from: DataFrame, settings: Settings = Settings(), model: Model | None = None) -> DataFrame:
     """``docs`` with one more struct column ``language``."""
+    bound_batches(docs.sparkSession)
     model = model or learn(learn_from, settings)
     return docs.withColumn("language", prediction(F.col("text"), _Shared(docs.sparkSession, model)))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import materialise, small, text_key
+from .common import bound_batches, materialise, small, text_key
 
 
 @dataclass(frozen=True)
@@ -285,6 +285,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, settings: Setti
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id and class_id of every row of ``docs`` (doc_id, text)."""
+    bound_batches(docs.sparkSession)
     text = F.col("text")
     rows = materialise(docs.select("doc_id", text_key(text).alias("key"), _sketch_column(settings)(text).alias("s")).select("doc_id", "key", "s.*"))
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "sketch")).alias("s"))

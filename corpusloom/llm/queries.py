@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, neardup, quality, ruleclf, sharding, tokencount, tokenout, urlfilter
-from .common import in_learning_part, table
+from .common import bound_batches, in_learning_part, table
 
 
 def _held_out() -> Column:
@@ -58,12 +58,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     t = bpe.round_trip(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
     out = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return out.select("doc_id", F.col("t.n_tokens").alias("n_tokens"), F.sha2("t.ids", 256).alias("ids_sha256"), F.sha2(F.col("t.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs = table(spark, sf_dir, "documents")
     n = tokencount.token_count(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")

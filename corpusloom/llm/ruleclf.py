@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import in_learning_part, materialise
+from .common import bound_batches, in_learning_part, materialise
 
 STATISTICS = (
     "n_words",
@@ -155,6 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all of them by default) with ``quality_score`` and
     ``quality_good`` (the score is at least the threshold)."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("quality_score", "quality_good")]
     stats, id_ = statistics(F.col("text")).alias("stats"), F.col("doc_id").alias("doc_id")
     row = F.struct(*keep).alias("row")  # in a struct of their own, columns can't clash with ours

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import materialise, shared_dir
+from .common import bound_batches, materialise, shared_dir
 
 SCHEMA = "doc_id bigint, ids array<int>"
 _CHUNKS, _PIECES = 900_000, 600_000
@@ -113,6 +113,7 @@ def token_ids(text: Column, path: str, end_id: int | None) -> Column:
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 1, files: int | None = None) -> None:
     """Writes doc_id and ids of every row of ``docs`` to ORC files under ``path``."""
+    bound_batches(docs.sparkSession)
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
     rows = rows.repartitionByRange(files, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
@@ -143,6 +144,7 @@ def _digest(ids: Column) -> Column:
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens and ids_crc32."""
+    bound_batches(spark)
     rows = read_tokens(spark, path).select("doc_id", F.col("_metadata.file_name").alias("file"), _digest(F.col("ids")).alias("d"))
     rows = materialise(rows.select("doc_id", "file", F.col("d.n").alias("n"), F.col("d.crc").alias("crc")))
     # one row per file, as the files' names are in order of ids
