@@ -22,7 +22,7 @@ def paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
     """Splits at runs of line ends (CR LF counts as one), trims, drops empty ones; the number
     counts the paragraphs that are left."""
     lines = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n+")
-    kept = F.filter(F.transform(lines, F.trim), lambda p: p != "")
+    kept = F.filter(F.transform(lines, lambda p: F.trim(p)), lambda p: p != "")
     return numbered(df, kept, "paragraph", "par_no").drop(text)
 
 
@@ -59,7 +59,7 @@ def bounded_pieces(text: Column, limit: int) -> Column:
     last space, else hard. Runs in one greedy pass of a regular expression."""
     n = limit - 1
     found = F.regexp_extract_all(text, F.lit(rf"(?s)(?:.{{1,{n}}},(?!\d)|.{{1,{limit}}}(?=\s|$)|.{{1,{limit}}})\s*"), F.lit(0))
-    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.filter(F.transform(found, F.trim), lambda p: p != ""))
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.filter(F.transform(found, lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def speech_pieces(sentence: Column) -> Column:

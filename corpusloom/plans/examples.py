@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import letters as X
 from ..functions import numerals as N
 from ..functions import rules as R
+from ..functions import slavic as V
+from ..operators import align as A
+from ..operators import lexicon as L
+from ..operators import morph as M
 from ..operators import segment as S
+from ..sources import readers
 from .registry import ORACLE_SQL, QUERIES
 
 #: Rule name: (column function, inputs and expected outputs).
@@ -58,6 +63,28 @@ EXAMPLES: dict[str, tuple[Callable[[Column], Column], list[tuple[str, str | None
     "dehyphenation": (S.dehyphenate, [("сло-\nво", "слово"), ("Нью-\nЙорк", "Нью-\nЙорк")]),
     "soft_break": (S.join_soft_breaks, [("раз\nдва", "раз два"), ("раз\nДва", "раз\nДва")]),
     "sentence_type": (lambda c: S.sentence_type(c, ("кто", "что"), ("не так ли",), "или"), [("Кто там?", "wh_q"), ("Да или нет?", "alternative_q"), ("Придёшь?", "general_q"), ("Ура!", "exclam"), ("Да.", "st"), ("Это он, не так ли?", "tag_q")]),
+    "ssml": (lambda c: F.to_json(A.ssml(c)), [('<speak>раз <break time="1s"/>два &amp; три</speak>', '[{"text":"раз","pause_ms":0,"rate":1.0},{"text":"два & три","pause_ms":1000,"rate":1.0}]')]),
+    "sentences": (lambda c: F.array_join(S.sentence_array(c, ("ул",)), "|"), [("Дом на ул. Мира. А. Петров пришёл! Да?", "Дом на ул. Мира.|А. Петров пришёл!|Да?")]),
+    "bounded_pieces": (lambda c: F.array_join(S.bounded_pieces(c, 12), "|"), [("один два, три четыре пять", "один два,|три четыре|пять"), ("коротко", "коротко")]),
+    "speech_pieces": (lambda c: F.to_json(S.speech_pieces(c)), [("— Да, — сказал он.", '[{"text":"Да,","speech":true},{"text":"сказал он.","speech":false}]')]),
+    "basic_tokens": (lambda c: F.array_join(A.basic_tokens(c), "|"), [("Unaffable, x!", "unaffable|,|x|!")]),
+    "wordpiece": (lambda c: F.array_join(A.wordpieces(A.basic_tokens(c), ["un", "##aff", "##able", ","]), " "), [("Unaffable, x", "un ##aff ##able , [UNK]")]),
+    "symbol_ids": (lambda c: F.array_join(A.symbol_ids(c, {"a": 5, "b": 6}, 1, 2), ","), [("a?b", "1,5,6,2"), ("", "1,2")]),
+    "replacement_list": (lambda c: L.replace(c, ["кот* = пёс*", "~(a)(b) = $2$1", "New York = Нью-Йорк", "$US = эс-ша"]), [("ab котик в new york, us US", "ba пёсик в Нью-Йорк, us эс-ша")]),
+    "stress_line": (lambda c: F.to_json(readers.stress_lines(c)), [("Замок з+амок # x", '{"word":"замок","variant":"з+амок"}'), ("# note", None), ("", None)]),
+    "import_lines": (lambda c: F.array_join(readers.imported_lines(c), "|"), [("а=+а\r\nб б", "а +а|б б")]),
+    "replacement_writer": (lambda c: readers.replacement_line(c, F.lit("x#")), [("ключ", "ключ=x##"), ("~а", "~а = x##")]),
+    "vowel_places": (lambda c: F.array_join(L.vowel_places(c, X.VOWELS), ","), [("молоко", "2,4,6"), ("", "")]),
+    "governed_numeral": (
+        lambda c: M.governed_numeral(F.split(c, ":")[0].cast("long"), F.split(c, ":")[1].cast("int")),
+        [(f"3:{M.NOUN | M.cell_bit('sg', 'gen')}", "три"), (f"5:{M.NOUN | M.cell_bit('pl', 'ins')}", "пятью"), (f"2:{M.NOUN | M.FEMININE | M.cell_bit('sg', 'gen')}", "две"), (f"5:{M.NOUN | M.cell_bit('pl', 'dat') | M.cell_bit('pl', 'ins')}", None)],
+    ),
+    "sole_case": (lambda c: M.sole_case(M.agreeing_cells(F.split(c, ":")[0].cast("int"), F.split(c, ":")[1].cast("int"))), [("3:2", "gen"), ("3:3", None), ("2:64", None)]),
+    "cardinal_ukrainian": (lambda c: V.cardinal(c.cast("long"), "uk"), [("2021", "дві тисячі двадцять один"), ("115", "сто п’ятнадцять")]),
+    "cardinal_ukrainian_genitive": (lambda c: V.cardinal(c.cast("long"), "uk", "gen"), [("500", "п’ятисот"), ("1000", "однієї тисячі")]),
+    "cardinal_belarusian": (lambda c: V.cardinal(c.cast("long"), "be"), [("2019", "дзве тысячы дзевятнаццаць"), ("60", "шэсцьдзясят")]),
+    "short_u_belarusian": (V.short_u, [("яна у доме", "яна ў доме"), ("ён у доме", "ён у доме")]),
+    "date_ukrainian": (lambda c: V.day_month(c, "uk"), [("24.08.1991", "двадцять четвертого серпня 1991")]),
 }
 
 
