@@ -41,7 +41,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = quality.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return v.select("doc_id", "quality_verdict.*")
+    out = v.select("doc_id", "quality_verdict.*")
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,5 +115,50 @@ r AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
 FROM r
+""",
+    "op4_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, doc_id, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+u AS (SELECT k, lang, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM w),
+g AS (SELECT k, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS g FROM u WINDOW o AS (PARTITION BY k ORDER BY i)),
+again AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM g WHERE g IS NOT NULL),
+covered AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM again WHERE n > 1) GROUP BY k),
+base AS (
+  SELECT w.k, doc_id, lang, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+         list_transform(['[a-z]', '[A-Z]', '[0-9]', '[#*$%&|<>]', '[\x20\x09-\x0D]', '[.,;:!?]', '[\x00-\x08\x0E-\x1F\x22\x27-\x29+\-/=@\[-`{}~\x7F]', '[^\x00-\x7F]'],
+                        lambda c: length(text) - length(regexp_replace(text, c, '', 'g'))) AS classes
+  FROM w LEFT JOIN covered ON covered.k = w.k),
+langs AS (SELECT lang, sum(n_words) AS n FROM base WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= 1000),
+class_sums AS (SELECT lang, c, sum(x)::DOUBLE AS n FROM (SELECT lang, generate_subscripts(classes, 1) AS c, unnest(classes) AS x FROM base) JOIN langs USING (lang) GROUP BY lang, c),
+class_ref AS (SELECT lang, c, s.n / sum(s.n) OVER (PARTITION BY lang) AS r FROM class_sums s),
+counts AS (SELECT lang, word, count(*) AS c FROM u WHERE lang IS NOT NULL GROUP BY lang, word),
+word_ref AS (SELECT lang, word, c / n::DOUBLE AS r FROM (SELECT lang, word, c, n, row_number() OVER (PARTITION BY lang ORDER BY c DESC, word) AS place FROM counts JOIN langs USING (lang) WHERE c >= 0.002 * n) WHERE place <= 40),
+own AS (SELECT k, word, count(*) AS c FROM u WHERE word IN (SELECT word FROM word_ref) GROUP BY k, word),
+pc AS (SELECT b.k, r.lang, b.classes[r.c] / greatest(list_sum(b.classes), 1)::DOUBLE AS p, r.r FROM base b CROSS JOIN class_ref r WHERE n_words > 0),
+pw0 AS (SELECT b.k, r.lang, coalesce(o.c, 0) / greatest(b.n_words, 1)::DOUBLE AS p, r.r FROM base b CROSS JOIN word_ref r LEFT JOIN own o ON o.k = b.k AND o.word = r.word WHERE n_words > 0),
+pw AS (SELECT * FROM pw0 UNION ALL SELECT k, l.lang, 1 - coalesce(p, 0), 1 - coalesce(r, 0) FROM (SELECT DISTINCT k FROM base WHERE n_words > 0) CROSS JOIN langs l LEFT JOIN (SELECT k, lang, sum(p) AS p, sum(r) AS r FROM pw0 GROUP BY k, lang) s USING (k, lang)),
+jc AS (SELECT k, lang, sqrt(least(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + r) / 2)) ELSE 0 END + CASE WHEN r > 0 THEN r * log2(r / ((p + r) / 2)) ELSE 0 END) / 2, 0), 1)) AS dc FROM pc GROUP BY k, lang),
+jw AS (SELECT k, lang, sqrt(least(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + r) / 2)) ELSE 0 END + CASE WHEN r > 0 THEN r * log2(r / ((p + r) / 2)) ELSE 0 END) / 2, 0), 1)) AS dw FROM pw GROUP BY k, lang),
+best AS (SELECT k, arg_min(dc, (dc + dw, lang)) AS dc, arg_min(dw, (dc + dw, lang)) AS dw FROM jc JOIN jw USING (k, lang) GROUP BY k),
+v AS (SELECT base.*, coalesce(dc, 0) AS dc, coalesce(dw, 0) AS dw, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM base LEFT JOIN best USING (k))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(dc, 6) AS class_distance, round(dw, 6) AS word_distance, failed AS base_failed,
+       NOT failed AND dc <= 0.175 + 0.6 / sqrt(greatest(n_words, 1)) AND dw <= 0.38 AS kept
+FROM v
+""",
+    "op8_near_duplicates": r"""
+WITH RECURSIVE n AS (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
+w AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM n),
+s AS (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+c AS (SELECT id, array_to_string(ws[i:i + 4], ' ') AS shingle, count(*) AS c FROM s GROUP BY ALL),
+t AS (SELECT id, sum(c) AS total FROM c GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS both FROM c a JOIN c b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN t x ON x.id = a JOIN t y ON y.id = b WHERE both >= 0.8 * (x.total + y.total - both)),
+sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(id, r) AS (SELECT id, id FROM n UNION SELECT reach.id, sides.b FROM reach JOIN sides ON reach.r = sides.a),
+classes AS (SELECT id, min(r) AS class_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM documents LEFT JOIN n USING (text) LEFT JOIN classes USING (id)
 """,
 }
