@@ -154,8 +154,8 @@ w AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM n),
 s AS (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
 c AS (SELECT id, array_to_string(ws[i:i + 4], ' ') AS shingle, count(*) AS c FROM s GROUP BY ALL),
 t AS (SELECT id, sum(c) AS total FROM c GROUP BY id),
-p AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS both FROM c a JOIN c b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN t x ON x.id = a JOIN t y ON y.id = b WHERE both >= 0.8 * (x.total + y.total - both)),
+p AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS common FROM c a JOIN c b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN t x ON x.id = a JOIN t y ON y.id = b WHERE common >= 0.8 * (x.total + y.total - common)),
 sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(id, r) AS (SELECT id, id FROM n UNION SELECT reach.id, sides.b FROM reach JOIN sides ON reach.r = sides.a),
 classes AS (SELECT id, min(r) AS class_id FROM reach GROUP BY id)
