@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import letters as X
+from ..functions import notation as T
 from ..functions import numerals as N
 from ..functions import rules as R
 from ..functions import slavic as V
@@ -85,6 +86,25 @@ EXAMPLES: dict[str, tuple[Callable[[Column], Column], list[tuple[str, str | None
     "cardinal_belarusian": (lambda c: V.cardinal(c.cast("long"), "be"), [("2019", "дзве тысячы дзевятнаццаць"), ("60", "шэсцьдзясят")]),
     "short_u_belarusian": (V.short_u, [("яна у доме", "яна ў доме"), ("ён у доме", "ён у доме")]),
     "date_ukrainian": (lambda c: V.day_month(c, "uk"), [("24.08.1991", "двадцять четвертого серпня 1991")]),
+    "ordinal_suffix": (T.ordinal_suffixes, [("5-й и 3-я, 20-го, 2-е", "пятый и третья, двадцатого, второе")]),
+    "case_suffix": (T.case_suffixes, [("5-ти, 3-х, 7-мя", "пяти, трёх, семью")]),
+    "year": (T.years, [("в 1999 году", "в тысяча девятьсот девяносто девятом году"), ("2020 год", "две тысячи двадцатый год"), ("в 1812 г.", "в тысяча восемьсот двенадцатом году"), ("с 2001 года", "с две тысячи первого года")]),
+    "day_range": (T.day_ranges, [("3-15 мая", "с третьего по пятнадцатое мая"), ("15-3 мая", "15-3 мая")]),
+    "day_month": (T.day_month, [("9 мая", "девятого мая"), ("45 мая", "45 мая")]),
+    "page_range": (T.page_ranges, [("стр. 12–15", "страницы с двенадцатой по пятнадцатую")]),
+    "unit_range": (T.unit_ranges, [("от 5 до 7 км", "от пяти до семи километров")]),
+    "half_scale": (T.half_scales, [("2,5 млн", "два с половиной миллиона"), ("1,5 тыс.", "полторы тысячи"), ("21,5 млн", "21,5 млн"), ("5,5 млрд", "пять с половиной миллиардов")]),
+    "scale": (T.scales, [("5 тыс.", "пять тысяч"), ("2 млн", "два миллиона"), ("3,2 млрд", "три целых две десятых миллиарда")]),
+    "degree": (T.degrees, [("-5 °C", "минус пять градусов Цельсия"), ("21°", "двадцать один градус")]),
+    "number_sign": (T.number_signs, [("№ 5 и § 7", "номер пять и параграф семь")]),
+    "section": (T.section_numbers, [("п. 2.3.1", "п. два точка три точка один"), ("1.5", "1.5")]),
+    "dimension": (T.dimensions, [("5х10", "пять на десять")]),
+    "power": (T.powers, [("5² и 2³", "пять в квадрате и два в кубе")]),
+    "arithmetic": (T.arithmetic, [("2 + 3 = 5", "2 плюс 3 равно 5"), ("10-20", "10-20"), ("≥ 5", " больше или равно 5")]),
+    "number_prefix": (T.signs_before_numbers, [("-5 и ~7, 10-20", "минус 5 и примерно 7, 10-20")]),
+    "abbreviation": (T.abbreviations, [("г. Москва и т. д.", "город Москва и так далее"), ("т. е. до н. э.", "то есть до нашей эры")]),
+    "spoon": (T.spoons, [("2 ст. л. и 1 ч. л.", "две столовые ложки и одна чайная ложка")]),
+    "requisite": (T.requisites, [("код 1204", "код двенадцать, ноль четыре")]),
 }
 
 
