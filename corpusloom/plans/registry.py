@@ -157,12 +157,14 @@ def repeated_marks(spark, sf_dir):
 
 
 @query("""
-SELECT lang, quality, count(*) AS n, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END)::BIGINT AS n_right, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS share
-FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, quality)
+SELECT coalesce(lang, 'all') AS lang, coalesce(quality, -1) AS quality, n, n_right, share FROM (
+  SELECT lang, quality, count(*) AS n, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END)::BIGINT AS n_right, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS share
+  FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, quality))
 """)
 def accuracy_rollup(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").select("doc_id", "lang").join(_t(spark, sf_dir, "labels"), "doc_id")
-    return C.accuracy(rows, F.col("toxic") == 0, "lang", "quality")
+    out = C.accuracy(rows, F.col("toxic") == 0, "lang", "quality")
+    return out.withColumns({"lang": F.coalesce("lang", F.lit("all")), "quality": F.coalesce("quality", F.lit(-1))})
 
 
 @query("""
@@ -286,12 +288,13 @@ def page_text(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user_turn FROM conversations
+SELECT conv_id, turn, role, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last_user_turn FROM conversations
 """)
 def carry_forward(spark, sf_dir):
     """The last user turn before each turn."""
     rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.col("turn")).alias("_u"))
-    return S.carry_forward(rows, ["conv_id"], "turn", "_u", "last_user_turn").drop("_u")
+    out = S.carry_forward(rows, ["conv_id"], "turn", "_u", "last_user_turn").drop("_u")
+    return out.withColumn("last_user_turn", F.coalesce("last_user_turn", F.lit(-1)))
 
 
 _X = "(SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
