@@ -241,7 +241,7 @@ def strip_markup(html: Column) -> Column:
         (r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|title|section|article)\s*>", "\n"),
         (r"(?s)<[^>]*>", ""),
     )
-    return F.trim(fold(decode_entities(body), (r"[ \t\u00a0]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n")))
+    return fold(decode_entities(body), (r"[ \t\u00a0]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n"), (r"^\s+|\s+$", ""))
 
 
 def url_host(url: Column) -> Column:

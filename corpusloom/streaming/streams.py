@@ -31,21 +31,27 @@ def word_counts(stream: DataFrame, column: str = "text") -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks want an instant; a stored time without a zone is read in the session's."""
+    local = dict(events.dtypes)["ts"] == "timestamp_ntz" and events.isStreaming
+    return events.withColumn("ts", F.col("ts").cast("timestamp")) if local else events
+
+
 def tumbling(events: DataFrame, size: str, late: str, slide: str | None = None) -> DataFrame:
     """Counts and sums of events by type in tumbling or sliding windows of event time."""
     span = F.window("ts", size, slide) if slide else F.window("ts", size)
-    out = events.withWatermark("ts", late).groupBy(span.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = _timed(events).withWatermark("ts", late).groupBy(span.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("starts"), F.col("w.end").alias("ends"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
-    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("user_id", F.col("w.start").alias("starts"), F.col("w.end").alias("ends"), "n", "total")
 
 
 def first_seen(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
     """One row for each key within the watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def moving_level(stream: DataFrame, key: str, value: str, keep: float = 0.8) -> DataFrame:
