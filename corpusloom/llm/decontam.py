@@ -14,8 +14,11 @@
    common subsequence with the item, weighted by IDF, must cover most of the item; where it covers less (a paraphrase), the item's
    answer (its last sentence) must be covered too.
 
-Items are handled in blocks of ``block_items``, so that what is broadcast stays bounded however
-long the benchmark is; the documents are read once per block.
+Items are handled in blocks of at most ``block_items`` and ``items_per_rank`` times ``rank``, so that
+what is broadcast stays bounded however long the benchmark is and the space has room for a block's
+items. Items of which it holds less than the share ``held`` of their norm are searched in further
+blocks of at most ``rank`` items, whose own span is the space and holds them whole. The documents are
+read once per block.
 
 Cases: null or empty texts hold no passage; items of fewer than ``least_words`` words are no
 evidence and never match; repeated items each give a row; an empty benchmark gives no rows.
@@ -24,7 +27,7 @@ evidence and never match; repeated items each give a row; an empty benchmark giv
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -49,6 +52,8 @@ class Settings:
     paraphrase: float = 0.55
     answer: float = 0.7
     block_items: int = 5000
+    items_per_rank: int = 4
+    held: float = 0.4
     seed: int = 11
 
 
@@ -71,6 +76,10 @@ class Items:
     idf: np.ndarray | None = None
     basis: np.ndarray | None = None  # terms x rank
 
+    def part(self, at: np.ndarray) -> Items:
+        """The items at these places, with the same terms and the same space."""
+        return replace(self, ids=[self.ids[i] for i in at], words=[self.words[i] for i in at], answers=[self.answers[i] for i in at])
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Term ids of word hashes, -1 for words that are no term."""
         if not len(self.vocabulary):
@@ -180,6 +189,22 @@ def randomised_svd(sample: DataFrame, items: Items, settings: Settings) -> np.nd
     return basis
 
 
+def spaces(sample: DataFrame, items: Items, settings: Settings) -> list[Items]:
+    """``items`` in parts, each with a basis that holds at least the share ``held`` of each item's norm."""
+    items.basis = randomised_svd(sample, items, settings)
+    rows = [_row(w, items.idf) for w in items.words]
+    share = np.array([np.linalg.norm(w @ items.basis[term]) for term, w in rows])
+    strong, weak = np.flatnonzero(share >= settings.held), np.flatnonzero(share < settings.held)
+    parts = [items.part(strong)] if len(strong) else []
+    for k in range(0, len(weak), settings.rank):
+        at = weak[k : k + settings.rank]
+        own = np.zeros((len(items.vocabulary), len(at)))
+        for column, i in enumerate(at):
+            own[rows[i][0], column] = rows[i][1]
+        parts.append(replace(items.part(at), basis=np.linalg.qr(own)[0]))
+    return parts
+
+
 def lcs_members(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which places of ``a`` are in a longest common subsequence with ``b`` (one of the longest)."""
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
@@ -298,10 +323,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    blocks = max(1, -(-benchmark.count() // settings.block_items))
+    blocks = max(1, -(-benchmark.count() // max(1, min(settings.block_items, settings.items_per_rank * settings.rank))))
     total = None
     for k in range(blocks):
-        block = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").collect()
+        block = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").collect()
         items = read_items([(r.item_id, r.text) for r in block], settings.least_words)
         if not items.ids:
             continue
@@ -312,10 +337,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
         # a sample by a hash of the id, about enough documents for fit_passages windows
         share = min(1.0, settings.fit_passages / 8 / max(n, 1))
         drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.substring("text", 1, 20_000).alias("text"))
-        items.basis = randomised_svd(drawn, items, settings)
-        shared = spark.sparkContext.broadcast(items)
-        found = rows.mapInArrow(_search(shared, settings), "doc_id long, item_id long, cover double")
-        total = found if total is None else total.union(found)
+        for part in spaces(drawn, items, settings):
+            shared = spark.sparkContext.broadcast(part)
+            found = rows.mapInArrow(_search(shared, settings), "doc_id long, item_id long, cover double")
+            total = found if total is None else total.union(found)
     return total if total is not None else spark.createDataFrame([], "doc_id long, item_id long, cover double")
 
 

@@ -74,6 +74,16 @@ def test_paraphrases_are_found(spark):
     assert len(got & want) >= 0.9 * len(want) and not {d for d, _ in got if d >= 1000}
 
 
+def test_items_that_the_rank_cannot_hold_are_found(spark):
+    rng = random.Random(8)
+    topic = [f"t{i}" for i in range(60)]
+    items = [(i, " ".join(rng.sample(topic, 20))) for i in range(60)] + [(100 + i, " ".join(f"r{i}x{k}" for k in range(20))) for i in range(20)]
+    rows = [(i, " ".join([*rng.sample(topic, 25), *t.split(), *rng.sample(topic, 25)])) for i, t in items] + [(1000 + i, f"other words {i} in a clean text") for i in range(2000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, decontam.Settings(rank=4)).collect()}
+    assert {(i, i) for i, _ in items} <= got and not {d for d, _ in got if d >= 1000}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
