@@ -1,5 +1,5 @@
 """Documented examples of every text rule as queries: short inputs, and the expected outputs as a
-literal table in SQL."""
+literal table in SQL. The rules that take free text are queries over whole tables as well."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from ..operators import lexicon as L
 from ..operators import morph as M
 from ..operators import segment as S
 from ..sources import readers
-from .registry import ORACLE_SQL, QUERIES
+from .registry import ORACLE_SQL, QUERIES, _t
 
 #: Rule name: (column function, inputs and expected outputs).
 EXAMPLES: dict[str, tuple[Callable[[Column], Column], list[tuple[str, str | None]]]] = {
@@ -123,3 +123,26 @@ def _register(name: str, rule: Callable[[Column], Column], rows: list[tuple[str,
 
 for _name, (_rule, _rows) in EXAMPLES.items():
     _register(_name, _rule, _rows)
+
+
+#: Examples whose input is no free text: numbers, single words or lines of a list.
+NOT_TEXT = {
+    "cardinal_nominative", "cardinal_genitive", "cardinal_instrumental", "cardinal_feminine", "ordinal_nominative", "plural_noun", "roman_to_number", "number_to_roman", "digit_groups",
+    "governed_numeral", "sole_case", "cardinal_ukrainian", "cardinal_ukrainian_genitive", "cardinal_belarusian",
+}
+
+
+def _register_whole(name: str, rule: Callable[[Column], Column]) -> None:
+    def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _t(spark, sf_dir, "documents").select("doc_id", rule(F.col("text")).alias("output"))
+
+    def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _t(spark, sf_dir, "pages").select("page_id", rule(F.col("html")).alias("output"))
+
+    QUERIES[f"documents_{name}"] = documents
+    QUERIES[f"pages_{name}"] = pages
+
+
+for _name, (_rule, _) in EXAMPLES.items():
+    if _name not in NOT_TEXT:
+        _register_whole(_name, _rule)

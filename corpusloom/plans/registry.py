@@ -274,6 +274,54 @@ def event_time_words(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", R.times(F.date_format("ts", "HH:mm")).alias("said"))
 
 
+@query(None)
+def normalise_documents(spark, sf_dir):
+    """The whole chain over every document."""
+    return R.normalise(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(None)
+def normalise_pages(spark, sf_dir):
+    """The whole chain over the readable text of every page."""
+    return R.normalise(_t(spark, sf_dir, "pages").select("page_id", R.strip_markup(F.col("html")).alias("text")))
+
+
+_YEARS = "[" + ", ".join(f"'{N.ordinal_words(y, 'gen', 'm')}'" for y in range(1, 20)) + "]"
+_TENS = "[" + ", ".join(f"'{N.ordinal_words(y, 'gen', 'm')}'" for y in range(10, 100, 10)) + "]"
+#: The years 1901 to 2099 as genitive ordinals.
+_YEAR_SQL = f"""CASE WHEN y = 2000 THEN 'двухтысячного' ELSE CASE WHEN y < 2000 THEN 'тысяча девятьсот ' ELSE 'две тысячи ' END || CASE WHEN y % 100 < 20 THEN {_YEARS}[y % 100] WHEN y % 10 = 0 THEN {_TENS}[y % 100 // 10]
+  ELSE {_list(N.ten_words('nom'))}[y % 100 // 10 + 1] || ' ' || {_YEARS}[y % 10] END END"""
+
+
+@query(f"""
+SELECT 'lineitem' AS source, l_orderkey * 10 + l_linenumber AS key, {_cardinal_sql('n')} || ' ' || {_plural_sql('n', 'километр', 'километра', 'километров')} || ', ' || {_cardinal_sql('d')} || ' ' || {_plural_sql('d', 'процент', 'процента', 'процентов')} AS text
+FROM (SELECT *, l_quantity::BIGINT AS n, round(l_discount * 100)::BIGINT AS d FROM lineitem) UNION ALL
+SELECT 'part', p_partkey, {_cardinal_sql('c // 100')} || ' ' || {_plural_sql('c // 100', 'рубль', 'рубля', 'рублей')} || ' ' || {_cardinal_sql('c % 100', 'f')} || ' ' || {_plural_sql('c % 100', 'копейка', 'копейки', 'копеек')}
+FROM (SELECT p_partkey, round(p_retailprice * 100)::BIGINT AS c FROM part) UNION ALL
+SELECT 'orders', o_orderkey, {_list(_DAYS)}[day(o_orderdate)] || ' ' || {_list(N.MONTHS_GEN)}[month(o_orderdate)] || ' ' || {_YEAR_SQL} || ' года' FROM (SELECT *, year(o_orderdate) AS y FROM orders) UNION ALL
+SELECT 'events', event_id, {_cardinal_sql('h')} || ' ' || {_plural_sql('h', 'час', 'часа', 'часов')} || ' ' || {_cardinal_sql('m', 'f')} || ' ' || {_plural_sql('m', 'минута', 'минуты', 'минут')}
+FROM (SELECT event_id, hour(ts) AS h, minute(ts) AS m FROM events) UNION ALL
+SELECT 'customer', c_custkey, 'клиент ' || {_cardinal_sql('c_custkey')} FROM customer
+""")
+def normalise_phrases(spark, sf_dir):
+    """The whole chain over a phrase rendered from every row of five tables."""
+
+    def rows(source, key, *shown):
+        return _t(spark, sf_dir, source).select(F.lit(source).alias("source"), key.cast("long").alias("key"), F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in shown]).alias("text"))
+
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    phrases = rows("lineitem", F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_quantity").cast("long"), " км, ", F.round(F.col("l_discount") * 100).cast("long"), "%")
+    for more in (
+        rows("part", F.col("p_partkey"), F.floor(cents / 100), " руб. ", cents % 100, " коп."),
+        rows("orders", F.col("o_orderkey"), F.date_format("o_orderdate", "dd.MM.yyyy")),
+        rows("events", F.col("event_id"), F.date_format("ts", "HH:mm")),
+        rows("customer", F.col("c_custkey"), "клиент ", F.col("c_custkey")),
+    ):
+        phrases = phrases.union(more)
+    # the shuffle keeps the chain from being planned once for each table
+    return R.normalise(phrases.repartition("source", "key"))
+
+
 @query("""
 SELECT page_id, regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:www\\.)?([^/?#:]+)', 1) AS host FROM pages
 """)

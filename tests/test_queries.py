@@ -38,6 +38,14 @@ def test_against_sql(spark, duck, name):
     assert plain(got) == plain(want)
 
 
+def test_rules_read_whole_tables(spark):
+    for name, table in (("documents_punctuation", "documents"), ("pages_entities", "pages")):
+        got = registry.QUERIES[name](spark, SF).agg({"*": "count", "output": "count"}).first()
+        whole = spark.read.parquet(f"{SF}/{table}.parquet").count()
+        assert tuple(got) == (whole, whole)
+    assert {"normalise_documents", "normalise_pages", "normalise_phrases"} <= set(registry.QUERIES)
+
+
 def test_entry_without_the_llm_part():
     """The driver takes the subpackage away; the entry module must do without it."""
     import subprocess
