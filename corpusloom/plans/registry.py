@@ -447,6 +447,16 @@ def unaccented_runs(spark, sf_dir):
     return S.foreign_runs(t, ["doc_id"], "tok_no", "token", 12)
 
 
+@query(f"""
+WITH t AS (SELECT doc_id, lang, tok_no, CASE WHEN regexp_full_match(token, '[A-Za-z]{{2,}}(?:[''’-][A-Za-z]+)*') THEN 2 WHEN regexp_full_match(token, '[A-Za-z]|\\d+') THEN 1 ELSE 0 END AS k FROM {_TOK_SQL}),
+     r AS (SELECT *, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, lang ORDER BY tok_no ROWS UNBOUNDED PRECEDING) AS run FROM t)
+SELECT doc_id, lang, min(tok_no) FILTER (k = 2) AS "first", max(tok_no) FILTER (k = 2) AS "last", count(*) FILTER (k = 2) AS words FROM r WHERE k > 0 GROUP BY doc_id, lang, run HAVING count(*) FILTER (k = 2) >= 12
+""")
+def unaccented_runs_by_lang(spark, sf_dir):
+    """Long runs of plain Latin words in every text, whatever its language."""
+    return S.foreign_runs(_tokens(spark, sf_dir), ["doc_id", "lang"], "tok_no", "token", 12)
+
+
 @query("""
 WITH v AS (SELECT doc_id, quality AS a, toxic AS b FROM labels), d AS (SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS c FROM documents)
 SELECT doc_id, a AS variant FROM v JOIN d USING (doc_id) WHERE a <> b AND c = a
