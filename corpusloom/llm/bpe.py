@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: The byte-level pre-tokenizer's pattern, with \s written as the Unicode property.
 _WS = r"\p{White_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|{_WS}+(?!\P{{White_Space}})|{_WS}+"
-_CACHE, _PAIRS = 300_000, 400_000
+_CACHE, _PAIRS = 80_000, 80_000
 _BASE = -1  # the rank of a single byte
 
 
@@ -50,30 +52,32 @@ class Encoder:
             spec = json.load(f)
         letters = byte_characters()
         to_byte = {c: b for b, c in enumerate(letters)}
-        self.vocab: dict[str, int] = spec["model"]["vocab"]
+        vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank_of_pair: dict[tuple[int, int], int] = {}
-        self.rank: dict[int, int] = {self.vocab[c]: _BASE for c in letters if c in self.vocab}
+        self.rank: dict[int, int] = {vocab[c]: _BASE for c in letters if c in vocab}
         self.halves: dict[int, tuple[int, int]] = {}
         for r, (x, y) in enumerate(merges):
-            a, b, both = self.vocab[x], self.vocab[y], self.vocab[x + y]
+            a, b, both = vocab[x], vocab[y], vocab[x + y]
             self.rank_of_pair[a, b] = r
             if both not in self.rank:
                 self.rank[both], self.halves[both] = r, (a, b)
         self.automaton = ahocorasick.Automaton()
-        for text, i in self.vocab.items():
+        for text, i in vocab.items():
             if i in self.rank:
                 self.automaton.add_word(text, (len(text), i))
         self.automaton.make_automaton()
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(letters)})
-        size = max([*self.vocab.values(), *self.special.values()]) + 1
+        size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes: list[bytes] = [b""] * size
-        for text, i in self.vocab.items():
+        for text, i in vocab.items():
             if i in self.rank:
                 self.bytes[i] = bytes(to_byte[c] for c in text)
         for text, i in self.special.items():
             self.bytes[i] = text.encode()
+        names = sorted(self.special, key=len, reverse=True)  # of two that begin at one place, the longer
+        self.special_names = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.pairs: dict[tuple[int, int], bool] = {}
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
@@ -181,33 +185,19 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        at = [(text.find(s), s) for s in self.special if s in text]
-        if not at:
+        if not any(name in text for name in self.special):
             return self._plain(text)
-        place, name = min(at, key=lambda x: (x[0], -len(x[1])))
-        out, rest = [self._plain(text[:place]), np.array([self.special[name]], "<u4").tobytes()], text[place + len(name) :]
-        while rest is not None:
-            at = [(rest.find(s), s) for s in self.special if s in rest]
-            if not at:
-                out.append(self._plain(rest))
-                break
-            place, name = min(at, key=lambda x: (x[0], -len(x[1])))
-            out += [self._plain(rest[:place]), np.array([self.special[name]], "<u4").tobytes()]
-            rest = rest[place + len(name) :]
+        cut = self.special_names.split(text)  # texts and special names by turns
+        out = [np.array([self.special[x]], "<u4").tobytes() if i % 2 else self._plain(x) for i, x in enumerate(cut)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file (a path that every executor has)."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("bpe", path), lambda: Encoder(path))
 
 
 def round_trip(text: Column, path: str) -> Column:
