@@ -1,12 +1,15 @@
 """Near-duplicate detection by BagMinHash signatures of word shingles.
 
-A text is the multiset of its five-word shingles. Each shingle with weight w (its count) runs
-Poisson processes over the discretised weights: one process for each dyadic range of weights
-(0,1], (1,2], (2,4], ... with a rate equal to the range's width. A point has an arrival time, a
-register and a place in its range; it counts when its place is at most w. Each register keeps the
-earliest arrival, so two texts agree in a register with a probability equal to their weighted
-Jaccard similarity. Points come in order of arrival, and a process stops as soon as its next
-point is later than every register, which is after one or two points for most shingles.
+A text is the multiset of its five-word shingles. The weights that a shingle may have are laid out
+in dyadic ranges (0,1], (1,2], (2,4], ...; over each range runs a Poisson process with a rate equal
+to the range's width, and each of its points has an arrival time and a register. A shingle of weight
+w takes the points below w: a range that lies below w gives its first point as it is; a range that
+w cuts is halved, one half (by a hash) inheriting the first point and the other drawing a later
+one, until the halves lie on one side of w. Later points of a range come from its halves in the
+same way, down to single weights. So the points of a weight are the same whatever the shingle's
+own weight is. Each register keeps the earliest arrival, and two texts agree in a register with a
+probability equal to their weighted Jaccard similarity. A range is left as soon as its next point is
+later than every register, which is after one or two points for most shingles.
 
 Registers are banded; texts that share a band are compared with a few leads of the band (its least
 texts in several hashed orders), so a band costs a number of comparisons in proportion to its
@@ -22,7 +25,9 @@ cost no pairs. Texts are fetched only for nodes that share a band.
 
 Cases: a text of one to four words is one shingle; texts without a word (empty or white space)
 match exact copies only; a null text is alone; repeated rows fall into one class; an empty table
-gives no rows. The class id is its smallest doc_id. Extra columns are dropped.
+gives no rows. The class id is its smallest doc_id, or null where all its ids are; rows that share
+an id and not a text may stand in different classes of that same id, which ``classes`` tells apart
+by ``root``. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bound_batches, materialise, small, text_key
+from .common import bound_batches, forget, join_counted, materialise, small, text_key
 
 
 @dataclass(frozen=True)
@@ -95,26 +100,65 @@ def bag_signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int,
     low = np.where(level > 0, width, 0)
     with np.errstate(over="ignore"):
         seed = K.mix(h + level.astype(_U) * _U(0xBF58476D1CE4E5B9))
-    x, done, points = np.zeros(len(h)), 0, 1
-    step = np.full(len(h), 0, np.int64)
-    while len(h):
-        points = int(np.clip(100_000 // len(h), 1, 64))
+    wide = np.flatnonzero(width > 1)
+    if len(wide):  # down to single weights, which join those of the ranges of width 1
+        leaves = _split(best, registers, n, *(v[wide] for v in (text, weight, low, width, seed)))
+    one = np.flatnonzero(width == 1)
+    text, seed, x = text[one], seed[one], np.zeros(len(one))
+    if len(wide):
+        text, seed, x = (np.concatenate(v) for v in zip((text, seed, x), leaves, strict=True))
+    step = np.zeros(len(text), np.int64)
+    while len(text):
+        points = int(np.clip(100_000 // len(text), 1, 64))
         t = (step[:, None] + np.arange(points)).astype(_U)
         with np.errstate(over="ignore"):
             r = K.mix(seed[:, None] + t * _U(0x9E3779B97F4A7C15))
-            s = K.mix(r + _U(0xD1B54A32D192ED03))
-        arrival = x[:, None] + np.cumsum(-np.log(((r >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53), axis=1) / width[:, None]
-        register = (s & _U(0xFFFFFFFF)).astype(np.int64) % registers
-        place = low[:, None] + 1 + (((s >> _U(32)).astype(np.float64) * 2.0**-32) * width[:, None]).astype(np.int64)
-        ok = place <= weight[:, None]
-        np.minimum.at(best, (text[:, None] * registers + register)[ok], arrival[ok])
+        arrival = x[:, None] + np.cumsum(_exponential(r), axis=1)
+        np.minimum.at(best, (text[:, None] * registers + _register(r, registers)).ravel(), arrival.ravel())
         x, step = arrival[:, -1], step + points
-        latest = best.reshape(n, registers).max(1)
-        live = x < latest[text]
-        text, h, weight, width, low, seed, x, step = (v[live] for v in (text, h, weight, width, low, seed, x, step))
+        live = x < best.reshape(n, registers).max(1)[text]
+        text, seed, x, step = (v[live] for v in (text, seed, x, step))
     return best.reshape(n, registers)
 
 
+def _exponential(r: np.ndarray) -> np.ndarray:
+    """Exponential waiting times of rate 1 from random words."""
+    return -np.log(((r >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
+
+
+def _register(r: np.ndarray, registers: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (K.mix(r + _U(0xD1B54A32D192ED03)) & _U(0xFFFFFFFF)).astype(np.int64) % registers
+
+
+def _split(best: np.ndarray, registers: int, n: int, text: np.ndarray, weight: np.ndarray, low: np.ndarray, width: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Halves ranges level by level; puts the first points of those below the weight into ``best``.
+    Returns the single weights left: their text, seed and latest point."""
+    x, place = _exponential(seed) / width, _register(seed, registers)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(text):
+        inside = low + width <= weight
+        np.minimum.at(best, text[inside] * registers + place[inside], x[inside])
+        live = x < best.reshape(n, registers).max(1)[text]
+        text, weight, low, width, seed, x, place = (v[live] for v in (text, weight, low, width, seed, x, place))
+        single = width == 1
+        out.append((text[single], seed[single], x[single]))
+        text, weight, low, width, seed, x, place = (v[~single] for v in (text, weight, low, width, seed, x, place))
+        half = width >> 1
+        with np.errstate(over="ignore"):
+            upper = (K.mix(seed ^ _U(0xA0761D6478BD642F)) >> _U(63)).astype(bool)  # the half that inherits the point
+            seeds = [K.mix(seed + _U(0x9E3779B97F4A7C15)), K.mix(seed + _U(0xE7037ED1A0B428DB))]
+        halves = []
+        for k in range(2):
+            heir = upper if k else ~upper
+            start = np.where(heir, x, x + _exponential(seeds[k]) / half)
+            halves.append((text, weight, low + k * half, half, seeds[k], start, np.where(heir, place, _register(seeds[k], registers))))
+        text, weight, low, width, seed, x, place = (np.concatenate(v) for v in zip(*halves, strict=True))
+        reach = low < weight
+        text, weight, low, width, seed, x, place = (v[reach] for v in (text, weight, low, width, seed, x, place))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0))
+
+
 def band_hashes(signatures: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit hash per band: (texts, bands)."""
     bits = np.ascontiguousarray(signatures).view(_U).reshape(len(signatures), bands, -1)
@@ -138,6 +182,7 @@ def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _sketch_column(settings: Settings):
     @F.arrow_udf("struct<bands:array<bigint>,sketch:binary>")
     def sketch(texts: pa.Array) -> pa.Array:
+        forget()
         values, lengths, sketches = [], [], []
         for _, _, t in K.pieces(texts):
             text, h, count = shingles(t, settings.words)
@@ -221,6 +266,7 @@ def _block_column(similarity: float):
 def _similarity_column(words: int):
     @F.arrow_udf("double")
     def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
+        forget()
         out: list[np.ndarray] = []
         n = len(left)
         for a in range(0, n, 256):
@@ -269,9 +315,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _texts_of(keys: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """One text for each key: that of its smallest doc_id, once even if rows repeat."""
-    wanted = materialise(keys.join(nodes.select("key", "doc_id"), "key"))
+    wanted = materialise(keys.join(nodes.select("key", "doc_id"), "key").select(F.col("key").alias("of"), F.col("doc_id").alias("first")))
     own = docs.select(text_key(F.col("text")).alias("key"), "doc_id", "text")
-    return materialise(own.join(small(wanted, wanted.count()), ["key", "doc_id"]).select("key", "text").dropDuplicates(["key"]))
+    same = (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    return materialise(own.join(small(wanted, wanted.count()), same).select("key", "text").dropDuplicates(["key"]))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -285,11 +332,17 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, settings: Setti
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id and class_id of every row of ``docs`` (doc_id, text)."""
+    return classes(docs, settings).select("doc_id", "class_id")
+
+
+def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, key (of the text; null for null), root (the least key of the row's class), class_id
+    and best (doc_id and key of the row that stands for the class: the smallest id, nulls last)."""
     bound_batches(docs.sparkSession)
     text = F.col("text")
     rows = materialise(docs.select("doc_id", text_key(text).alias("key"), _sketch_column(settings)(text).alias("s")).select("doc_id", "key", "s.*"))
-    nodes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "sketch")).alias("s"))
-    nodes = materialise(nodes.select("key", "doc_id", "s.*"))
+    nodes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "sketch")).alias("s"), F.count("*").alias("copies"))
+    nodes = materialise(nodes.select("key", "doc_id", "copies", "s.*"))
     sketches = nodes.select("key", "sketch")
     placed = nodes.select("key", F.explode("bands").alias("band"))
     leads = F.array(*[F.min_by("key", F.xxhash64("key", F.lit(i))) for i in range(settings.leads)])
@@ -317,18 +370,27 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     across = across.join(stars, ["a", "b"], "left_anti")
     more = _linked(materialise(across), docs, nodes, settings)
     roots = components(links.union(more))
-    placed = nodes.select("key", "doc_id").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    placed = materialise(placed)
-    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    of = placed.join(classes, "root").select("key", "class_id")
-    return rows.select("doc_id", "key").join(of, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    placed = nodes.select("key", "doc_id", "copies").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    placed = materialise(placed.select("key", "doc_id", "copies", F.coalesce("root", "key").alias("root")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("best")
+    of = placed.join(placed.groupBy("root").agg(best), "root").select("key", F.col("copies").alias("n"), "root", F.struct("best.doc_id", "best.key").alias("best"))
+    of = materialise(of)
+    out = join_counted(rows.select("doc_id", "key"), of, nodes.agg(F.sum("copies")).first()[0] or 0)
+    return out.select("doc_id", "key", "root", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"), "best")
 
 
 def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest doc_id; rows without an id stay."""
-    classes = materialise(near_duplicates(docs, settings))
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
-    if classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept
+    """``docs`` with one row of each class: that of the smallest doc_id (nulls last), of equal ids
+    that of the least text key, of repeated rows any one; rows without a text all stay."""
+    found = materialise(classes(docs, settings))
+    alike = found.where("key is not null").groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first("best").alias("best"))
+    alike = alike.select("doc_id", "key", "n", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))).alias("stays"))
+    alike = materialise(alike.where("not stays or n > 1").select(F.col("doc_id").alias("id"), F.col("key").alias("of"), "stays"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("of"))
+    own = docs.select(F.struct(*docs.columns).alias("d"), text_key(F.col("text")).alias("k"))
+    kept = own.join(small(gone := alike.where("not stays"), gone.count()), same, "left_anti")
+    many = alike.where("stays")
+    if (n := many.count()) > 0:  # repeated rows of one id and text
+        repeated = kept.join(small(many, n), same, "left_semi").dropDuplicates(["k"])
+        kept = kept.join(small(many, n), same, "left_anti").union(repeated)
+    return kept.select("d.*")
