@@ -9,8 +9,15 @@ back). States are compiled when first met and kept in a bounded table.
 
 A text is cut into chunks. A word start always leads to the same state, so a chunk's state map is
 constant from its first word start on: the chunk's body runs from that state, all bodies of a
-batch in step. Heads then run from the state in which the chunk before them ended, which composes
-the maps from left to right; a chunk without a word start only passes its state on.
+batch in step, and the head before it runs from the state in which the chunk before ends. Chunks
+without a word start have maps that depend on the state they are entered in. Each is run, all in
+step, from the state that its last characters before suggest, which gives its map at one entry;
+neighbouring maps are then composed pairwise, level by level, into the map of the whole stretch, and
+a map is extended by running its chunk where a composition enters it in another state.
+
+Memory is bounded: the transitions of common characters stand in a table, those of others in a
+dictionary, and beyond ``MAX_STATES`` states, even in the middle of a run, all but the states in use
+are forgotten.
 
 Cases: a null or empty text has no tokens; special strings inside a text are ordinary characters;
 characters that no piece holds count one token for each UTF-8 byte; texts of any length are read
@@ -20,6 +27,8 @@ whole; repeated rows are counted alike. Extra columns stay.
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +36,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .common import held
 
 SPACE_MARK = "▁"
 CHUNK = 256
-_MAX_STATES = 1 << 18
+MAX_STATES = 200_000
+_COMMON, _LOOK_BACK, _PAIRS = 128, 64, 200_000
 _SHIFT, _MIDDLE = 6, 32
 
 
@@ -156,56 +167,90 @@ class Pieces:
                 left = self.text[last]
                 self.valid(left)
                 found = self.merge(left + own) == [left, own] if {left, own} & self.odd else self.stays(left, own)
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= _PAIRS:
                 self.pairs.clear()
             self.pairs[key] = found
         return found
 
 
+def _key(*numbers: int) -> bytes:
+    return array("i", numbers).tobytes()
+
+
+class _Map:
+    """The map of a chunk (``chunk``) or of two neighbouring stretches: state entered in to state
+    left in and tokens, for the entries met so far. States stand by their keys."""
+
+    def __init__(self, chunk: int, left: _Map | None = None, right: _Map | None = None):
+        self.chunk, self.left, self.right = chunk, left, right
+        self.at: dict[bytes, tuple[bytes, int]] = {}
+
+    def value(self, entry: bytes, run: Callable[[int, bytes], tuple[bytes, int]]) -> tuple[bytes, int]:
+        found = self.at.get(entry)
+        if found is None:
+            if self.left is None:
+                found = run(self.chunk, entry)
+            else:
+                middle, n = self.left.value(entry, run)
+                end, m = self.right.value(middle, run)
+                found = end, n + m
+            self.at[entry] = found
+        return found
+
+
 class Transducer:
-    """Lazily compiled states; ``table[state, class]`` holds the next state and the count change."""
+    """Lazily compiled states. ``table[state, class]`` holds the next state and the count change of
+    the first classes, its last column nothing; ``rare`` holds those of the others."""
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         chars = sorted({c for t in self.pieces.text for c in t})
-        self.known = np.zeros(0x110000, bool)
-        self.known[[ord(c) for c in chars]] = True
-        self.reset()
-
-    def reset(self) -> None:
+        known = np.zeros(0x110000, bool)
+        known[[ord(c) for c in chars]] = True
         #: Classes 0 to 3 are unknown characters of one to four bytes; others follow as met.
         self.class_of = np.full(0x110000, -1, np.int16)
         for low, high, k in ((0, 0x80, 0), (0x80, 0x800, 1), (0x800, 0x10000, 2), (0x10000, 0x110000, 3)):
-            self.class_of[low:high][~self.known[low:high]] = k
-        self.chars = [""] * 4
+            self.class_of[low:high][~known[low:high]] = k
         # the mark comes fifth: reading it leads to the same state wherever a word starts
         self.class_of[ord(SPACE_MARK)] = 4
-        self.chars.append(SPACE_MARK)
-        self.table = np.full((1024, 64), -1, np.int32)
-        self.keys: list[tuple] = [(0, ((-1, 0),))]
+        self.chars = [""] * 4 + [SPACE_MARK]
+        self.reset()
+
+    def reset(self) -> None:
+        self.table = np.full((1024, _COMMON), -1, np.int32)
+        self.rare: dict[int, int] = {}
+        #: A state's key: automaton node, then last token and relative count for each of its depths.
+        self.keys: list[bytes] = [_key(0, -1, 0)]
         self.number = {self.keys[0]: 0}
         self.word_start = self._next(0, 4)[0]
 
+    def _make_room(self, *states: np.ndarray) -> None:
+        """Forgets all states but those in the arrays, which get the new numbers (-1 stays)."""
+        used = np.unique(np.concatenate(states))
+        used = used[used >= 0]
+        keys = [self.keys[i] for i in used.tolist()]
+        self.reset()
+        new = np.array([self._state(k) for k in keys], np.int64)
+        for own in states:
+            some = own >= 0
+            own[some] = new[np.searchsorted(used, own[some])]
+
     def classes(self, codes: np.ndarray) -> np.ndarray:
         out = self.class_of[codes]
         if len(out) and out.min() < 0:
             for c in np.unique(codes[out < 0]).tolist():
                 self.class_of[c] = len(self.chars)
                 self.chars.append(chr(c))
-            if len(self.chars) > self.table.shape[1]:
-                wide = np.full((len(self.table), len(self.chars) + 16), -1, np.int32)
-                wide[:, : self.table.shape[1]] = self.table
-                self.table = wide
             out = self.class_of[codes]
         return out
 
-    def _state(self, key: tuple) -> int:
+    def _state(self, key: bytes) -> int:
         found = self.number.get(key)
         if found is None:
             found = self.number[key] = len(self.keys)
             self.keys.append(key)
             if found >= len(self.table):
-                tall = np.full((2 * len(self.table), self.table.shape[1]), -1, np.int32)
+                tall = np.full((len(self.table) * 5 // 4, _COMMON), -1, np.int32)
                 tall[: len(self.table)] = self.table
                 self.table = tall
         return found
@@ -216,9 +261,9 @@ class Transducer:
             out = (0, kind + 1)
         else:
             p, c = self.pieces, self.chars[kind]
-            node, window = self.keys[state]
+            node, *window = array("i", self.keys[state])
             to = p.step(node, c)
-            at = dict(zip(p.depths[node], window, strict=True))
+            at = dict(zip(p.depths[node], zip(window[::2], window[1::2], strict=True), strict=True))
             for piece in p.ends[to]:
                 last, count = at[len(p.text[piece]) - 1]
                 if p.fits(last, piece):
@@ -229,37 +274,61 @@ class Transducer:
             before = at[0][0]
             if c == SPACE_MARK and (before < 0 or not p.text[before].endswith(SPACE_MARK)):
                 # no piece runs over a word start, so what stood before it is forgotten
-                kept = [(-1, -1) for _ in p.depths[to][:-1]]
+                kept = [-1, -1] * (len(p.depths[to]) - 1)
             else:
-                kept = [(at[d - 1][0], at[d - 1][1] - add) for d in p.depths[to][:-1]]
-            out = (self._state((to, (*kept, (piece, 0)))), add)
-        self.table[state, kind] = (out[0] << _SHIFT) | (out[1] + _MIDDLE)
+                kept = [x for d in p.depths[to][:-1] for x in (at[d - 1][0], at[d - 1][1] - add)]
+            out = (self._state(_key(to, *kept, piece, 0)), add)
+        packed = (out[0] << _SHIFT) | (out[1] + _MIDDLE)
+        if kind < _COMMON - 1:
+            self.table[state, kind] = packed
+        else:
+            self.rare[state << 16 | kind] = packed
         return out
 
-    def run(self, classes: np.ndarray, starts: np.ndarray, ends: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Runs many stretches in step; the tokens each adds and the state each ends in."""
+    def _packed(self, key: int) -> int:
+        found = self.rare.get(key)
+        if found is None:
+            to, add = self._next(key >> 16, key & 65535)
+            found = (to << _SHIFT) | (add + _MIDDLE)
+        return found
+
+    def run(self, classes: np.ndarray, starts: np.ndarray, ends: np.ndarray, states: np.ndarray, *kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs many stretches in step; the tokens each adds and the state each ends in. The arrays
+        ``kept`` hold further states in use."""
         order = np.argsort(starts - ends, kind="stable")
         pos, length, state = starts[order], (ends - starts)[order], states[order].astype(np.int64)
         count = np.zeros(len(order), np.int64)
         live = len(order)
         for k in range(int(length[0]) if len(length) else 0):
+            if max(len(self.keys), len(self.rare) >> 1) > MAX_STATES:
+                self._make_room(state, *kept)
             live = int(np.searchsorted(-length[:live], -k, "left"))
             s, c = state[:live], classes[pos[:live] + k]
-            v = self.table[s, c]
+            v = self.table[s, np.minimum(c, _COMMON - 1)]
             if (missing := v < 0).any():
-                for key in np.unique(s[missing] * 65536 + c[missing]).tolist():
-                    self._next(key >> 16, key & 65535)
-                v = self.table[s, c]
+                at = np.flatnonzero(missing)
+                keys, which = np.unique(s[at] << 16 | c[at], return_inverse=True)
+                v[at] = np.array([self._packed(x) for x in keys.tolist()], np.int64)[which]
             state[:live] = v >> _SHIFT
             count[:live] += (v & (2 * _MIDDLE - 1)) - _MIDDLE
         out_count, out_state = np.empty_like(count), np.empty_like(state)
         out_count[order], out_state[order] = count, state
         return out_count, out_state
 
+    def _stretch(self, maps: list[_Map], entry: bytes, run: Callable) -> tuple[bytes, int]:
+        """Composes the maps of neighbouring chunks pairwise, level by level; their value at ``entry``."""
+        while len(maps) > 1:
+            above = []
+            for left, right in zip(maps[::2], maps[1::2], strict=False):
+                both = _Map(-1, left, right)
+                for known in list(left.at):
+                    both.value(known, run)
+                above.append(both)
+            maps = above + maps[len(above) * 2 :]
+        return maps[0].value(entry, run)
+
     def count(self, t: K.Texts) -> np.ndarray:
         """Tokens of each text."""
-        if len(self.keys) > _MAX_STATES:
-            self.reset()
         raw = t.buf.tobytes()
         lead = np.concatenate([[0], np.cumsum((t.buf & 0xC0) != 0x80)])
         codes = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -289,22 +358,37 @@ class Transducer:
         owner = np.searchsorted(bounds, starts, "right") - 1
         total = np.zeros(t.n, np.int64)
         inside = np.flatnonzero(body < ends)
-        n, left = self.run(classes, body[inside] + 1, ends[inside], np.full(len(inside), self.word_start))
-        np.add.at(total, owner[inside], n + 1)
         exit_ = np.full(len(starts), -1, np.int64)
+        n, left = self.run(classes, body[inside] + 1, ends[inside], np.full(len(inside), self.word_start))
         exit_[inside] = left
-        waiting = np.flatnonzero(body > starts)  # never a text's first chunk
-        while len(waiting):
-            ready = waiting[exit_[waiting - 1] >= 0]
-            n, left = self.run(classes, starts[ready], body[ready], exit_[ready - 1])
-            np.add.at(total, owner[ready], n)
-            through = body[ready] == ends[ready]
-            exit_[ready[through]] = left[through]
-            waiting = np.setdiff1d(waiting, ready)
+        np.add.at(total, owner[inside], n + 1)
+        alone = np.flatnonzero(body == ends)  # chunks without a word start; never a text's first
+        if len(alone):
+            self._alone(classes, starts, ends, np.maximum(starts - _LOOK_BACK, bounds[owner]), alone, owner, exit_, total)
+        heads = np.flatnonzero((body > starts) & (body < ends))
+        n, _ = self.run(classes, starts[heads], body[heads], exit_[heads - 1])
+        np.add.at(total, owner[heads], n)
         return total
 
+    def _alone(self, classes, starts, ends, back, alone, owner, exit_, total) -> None:
+        """Counts the stretches of chunks without a word start, and sets the states they end in."""
+        _, guess = self.run(classes, back[alone], starts[alone], np.zeros(len(alone), np.int64), exit_)
+        entries = [self.keys[s] for s in guess.tolist()]
+        n, left = self.run(classes, starts[alone], ends[alone], guess, exit_)
+        maps = []
+        for chunk, entry, state, tokens in zip(alone.tolist(), entries, left.tolist(), n.tolist(), strict=True):
+            maps.append(_Map(chunk))
+            maps[-1].at[entry] = (self.keys[state], tokens)
+
+        def run(chunk: int, entry: bytes) -> tuple[bytes, int]:
+            tokens, state = self.run(classes, starts[chunk : chunk + 1], ends[chunk : chunk + 1], np.array([self._state(entry)]), exit_)
+            return self.keys[int(state[0])], int(tokens[0])
 
-_transducers: dict[str, Transducer] = {}
+        cuts = np.flatnonzero(np.append(True, (np.diff(alone) > 1) | (np.diff(owner[alone]) > 0)))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(alone)], strict=True):
+            state, tokens = self._stretch(maps[a:b], self.keys[int(exit_[alone[a] - 1])], run)
+            total[owner[alone[a]]] += tokens
+            exit_[alone[b - 1]] = self._state(state)
 
 
 def token_count(text: Column, path: str) -> Column:
@@ -312,10 +396,8 @@ def token_count(text: Column, path: str) -> Column:
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        if path not in _transducers:
-            _transducers.clear()
-            _transducers[path] = Transducer(path)
-        parts = [_transducers[path].count(t) for _, _, t in K.pieces(texts)]
+        own = held(("counts", path), lambda: Transducer(path))
+        parts = [own.count(t) for _, _, t in K.pieces(texts)]
         return pa.array(np.concatenate(parts) if parts else [], pa.int64())
 
     return count(text)
