@@ -1,27 +1,29 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Terms are the alphanumeric words of the benchmark, lower-cased. Their document frequencies are
-   counted over all documents.
+   counted over all documents, for all items in one pass.
 2. A randomised singular value decomposition of the TF-IDF passages gives a latent space: a
-   Gaussian sketch is multiplied by the passages and their transpose, on the executors, for a few
-   power iterations; between them the driver orthogonalises a matrix of terms by ``rank`` columns.
-   It is fitted on the benchmark and a bounded sample of about ``fit_passages`` document passages
-   (of the lesser weight ``sample_weight``, so that the items shape the space).
+   Gaussian sketch of ``rank`` and ``oversample`` columns is multiplied by the passages and their
+   transpose, on the executors, for a few power iterations, between which the driver
+   orthogonalises it; the eigenvectors of the small matrix that the last product leaves turn it
+   into the ``rank`` strongest right singular vectors. The passages are the benchmark's and those of
+   about ``fit_docs`` whole documents drawn by a hash of the id, of the lesser weight
+   ``sample_weight``, so that the items shape the space.
 3. Every passage (a window of ``window`` words, one every half window) of every document is embedded
    and compared with every item by cosine. Passages whose benchmark terms weigh too little to
    cover any item are skipped first.
 4. A candidate region that holds enough of the item's terms is checked word by word: the longest
-   common subsequence with the item, weighted by IDF, must cover most of the item; where it covers less (a paraphrase), the item's
-   answer (its last sentence) must be covered too.
+   common subsequence with the item, by words and by IDF weight, must cover most of the item; where
+   it covers less (a paraphrase), the item's answer (its last sentence) must be covered too.
 
-Items are handled in blocks of at most ``block_items`` and ``items_per_rank`` times ``rank``, so that
-what is broadcast stays bounded however long the benchmark is and the space has room for a block's
-items. Items of which it holds less than the share ``held`` of their norm are searched in further
-blocks of at most ``rank`` items, whose own span is the space and holds them whole. The documents are
-read once per block.
+Items are handled in blocks of at most ``items_per_rank`` times ``rank``, so that the space has room
+for a block's items. Items of which it holds less than the share ``held`` of their norm are searched
+in further blocks of at most ``rank`` items, whose own span is the space and holds them whole. One
+pass over the documents searches as many blocks as ``pass_bytes`` of broadcast hold.
 
 Cases: null or empty texts hold no passage; items of fewer than ``least_words`` words are no
-evidence and never match; repeated items each give a row; an empty benchmark gives no rows.
+evidence and never match; repeated items each give a row; an empty benchmark gives no rows; columns
+other than doc_id, item_id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,22 +38,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bound_batches, materialise, small
+from .common import bound_batches, forget, materialise, small
 
 
 @dataclass(frozen=True)
 class Settings:
     window: int = 32
     rank: int = 128
+    oversample: int = 16
     sample_weight: float = 0.1
     iterations: int = 2
-    fit_passages: int = 4000
+    fit_docs: int = 500
     least_words: int = 8
-    cosine: float = 0.4
-    cover: float = 0.8
-    paraphrase: float = 0.55
-    answer: float = 0.7
-    block_items: int = 5000
+    cosine: float = 0.35
+    cover: float = 0.7
+    paraphrase: float = 0.5
+    answer: float = 0.4
+    pass_bytes: int = 64 << 20
     items_per_rank: int = 4
     held: float = 0.4
     seed: int = 11
@@ -116,6 +119,7 @@ def _frequencies(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs = np.zeros(len(items.vocabulary), np.int64), 0
         for batch in batches:
+            forget()
             for _, _, t in K.pieces(batch.column("text")):
                 h, bounds, _, _ = terms_of(t)
                 at = items.find(h)
@@ -173,25 +177,28 @@ def _partial_product(items: Items, sketch: np.ndarray, settings: Settings):
     return run
 
 
-def randomised_svd(sample: DataFrame, items: Items, settings: Settings) -> np.ndarray:
-    """An orthonormal basis (terms, rank) of the strongest right singular vectors."""
+def randomised_svd(sample: DataFrame, items: Items, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The strongest right singular vectors (terms, rank) and their singular values."""
     n = len(items.vocabulary)
-    rank = min(settings.rank, n)
-    basis = np.random.default_rng(settings.seed).standard_normal((n, rank))
+    width = min(settings.rank + settings.oversample, n)
+    sketch, _ = np.linalg.qr(np.random.default_rng(settings.seed).standard_normal((n, width)))
     own = [r for r in (_row(w, items.idf) for w in items.words) if r]
-    for _ in range(settings.iterations + 1):
-        product = _multiply(own, basis)
-        parts = sample.mapInArrow(_partial_product(items, basis, settings), "term long, row array<double>")
+    for k in range(settings.iterations + 1):
+        product = _multiply(own, sketch)
+        parts = sample.mapInArrow(_partial_product(items, sketch, settings), "term long, row array<double>")
         sums = parts.select("term", F.posexplode("row").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x"))
-        for r in sums.toLocalIterator():  # terms x rank numbers
+        for r in sums.toLocalIterator():  # terms x width numbers
             product[r.term, r.k] += r.x
-        basis, _ = np.linalg.qr(product)
-    return basis
+        if k < settings.iterations:
+            sketch, _ = np.linalg.qr(product)
+    small_, turn = np.linalg.eigh(sketch.T @ product)  # the passages' product within the sketch's span
+    strongest = np.argsort(-small_)[: min(settings.rank, n)]
+    return sketch @ turn[:, strongest], np.sqrt(np.maximum(small_[strongest], 0))
 
 
 def spaces(sample: DataFrame, items: Items, settings: Settings) -> list[Items]:
     """``items`` in parts, each with a basis that holds at least the share ``held`` of each item's norm."""
-    items.basis = randomised_svd(sample, items, settings)
+    items.basis, _ = randomised_svd(sample, items, settings)
     rows = [_row(w, items.idf) for w in items.words]
     share = np.array([np.linalg.norm(w @ items.basis[term]) for term, w in rows])
     strong, weak = np.flatnonzero(share >= settings.held), np.flatnonzero(share < settings.held)
@@ -238,110 +245,142 @@ def verify(item: np.ndarray, answer: int, region: np.ndarray, idf: np.ndarray, s
     return bool(min(cover, plain) >= settings.paraphrase and answered >= settings.answer), cover
 
 
-def _search(shared, settings: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
-        idf, square = items.idf, np.append(items.idf**2, 0)  # the last place is for words that are no term
-        space = np.vstack([idf[:, None] * items.basis, np.zeros((1, items.basis.shape[1]))]).astype(np.float32)
-        vectors = np.stack([space[w].sum(0) for w in items.words])
+class _Finder:
+    """What a task prepares once for a block of items."""
+
+    def __init__(self, items: Items, settings: Settings):
+        self.items, self.settings = items, settings
+        idf = items.idf
+        self.square = np.append(idf**2, 0)  # the last place is for words that are no term
+        self.space = np.vstack([idf[:, None] * items.basis, np.zeros((1, items.basis.shape[1]))]).astype(np.float32)
         # an item's share outside the latent space can't be told apart there, so cosines go by its part inside
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        weight = [idf[w] for w in items.words]
+        vectors = np.stack([self.space[w].sum(0) for w in items.words])
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        self.weight = [idf[w] for w in items.words]
         # the windows' best overlap with an item, and what a covered item must weigh in that window
         step, size = max(settings.window // 2, 1), np.array([len(w) for w in items.words])
         inside = np.maximum(np.minimum(size, settings.window - step + 1), np.minimum(settings.window, size - step + 1)) / size
-        mass_of = np.array([square[np.unique(w)].sum() for w in items.words])
-        least_of = settings.paraphrase * mass_of * np.where(inside >= 1, 1.0, 0.7 * inside)
-        least = float(least_of.min())
-        flag = np.zeros(len(idf) + 1, bool)
+        mass = np.array([self.square[np.unique(w)].sum() for w in items.words])
+        self.least_of = 0.9 * settings.paraphrase * mass * np.where(inside >= 1, 1.0, 0.7 * inside)
+        self.least = float(self.least_of.min())
+        self.step = step
+        self.flag = np.zeros(len(idf) + 1, bool)
+
+    def find(self, t: K.Texts, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Text, item and cover of what the texts hold."""
+        items, settings, step, space = self.items, self.settings, self.step, self.space
+        idf = items.idf
+        at = items.find(h)
+        # words in blocks of half a window, each text padded to whole blocks
+        n = np.diff(bounds)
+        per = -(-n // step)
+        start = np.cumsum(per) - per
+        blocks = np.full((int(per.sum()), step), len(idf))
+        owner = np.repeat(np.arange(t.n), n)
+        blocks.reshape(-1)[start[owner] * step + np.arange(len(at)) - bounds[owner]] = np.where(at >= 0, at, len(idf))
+        text = np.repeat(np.arange(t.n), per)
+        mass = np.append(self.square[blocks].sum(1), 0)
+        # a window is a block and the next one of its text; a lone block is one too
+        alone = per[text] == 1
+        window = np.flatnonzero((np.append(text[1:], -1) == text) | alone)
+        mate = np.where(alone[window], len(blocks), window + 1)
+        first = bounds[text] + (np.arange(len(text)) - start[text]) * step
+        last = np.minimum(first + settings.window, bounds[text + 1])
+        weigh = mass[window] + mass[mate]
+        keep = np.flatnonzero(weigh >= self.least)
+        found: dict[tuple[int, int], list[int]] = {}
+        for part in range(0, len(keep), 512):
+            own, other, heavy = window[keep[part : part + 512]], mate[keep[part : part + 512]], weigh[keep[part : part + 512]]
+            used = np.unique(np.concatenate([own, other]))
+            real = used[used < len(blocks)]
+            sums = np.vstack([space[blocks[real]].sum(1), np.zeros((1, space.shape[1]), np.float32)])
+            latent = sums[np.searchsorted(used, own)] + sums[np.searchsorted(used, other)]
+            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+            for p, i in zip(*np.nonzero((latent @ self.vectors.T >= settings.cosine) & (heavy[:, None] >= self.least_of)), strict=True):
+                found.setdefault((int(text[own[p]]), int(i)), []).append(int(own[p]))
+        for (doc, item), windows in found.items():
+            size = len(items.words[item])
+            ok, best = False, 0.0
+            # neighbouring windows make one region, widened by the item's length
+            a = b = -1
+            regions: list[tuple[int, int]] = []
+            for w in windows:
+                lo, hi = max(int(first[w]) - size, int(bounds[doc])), min(int(last[w]) + size, int(bounds[doc + 1]))
+                if regions and lo <= b and hi - a <= 8 * (size + settings.window):
+                    b = max(b, hi)
+                    regions[-1] = (a, b)
+                else:
+                    a, b = lo, hi
+                    regions.append((a, b))
+            for lo, hi in regions:
+                self.flag[:] = False
+                self.flag[at[lo:hi]] = True
+                self.flag[-1] = False
+                w = self.weight[item]
+                if w[self.flag[items.words[item]]].sum() < settings.paraphrase * w.sum():
+                    continue  # no subsequence can cover more
+                good, cover = verify(items.words[item], items.answers[item], at[lo:hi], idf, settings)
+                ok, best = ok or good, max(best, cover)
+            if ok:
+                yield doc, items.ids[item], best
+
+
+def _search(shared, settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finders = [_Finder(part, settings) for part in shared.value]
         for batch in batches:
+            forget()
             ids = batch.column("doc_id").to_pylist()
             out: list[tuple[int, int, float]] = []
             for base, _, t in K.pieces(batch.column("text")):
                 h, bounds, _, _ = terms_of(t)
-                at = items.find(h)
-                # words in blocks of half a window, each text padded to whole blocks
-                n = np.diff(bounds)
-                per = -(-n // step)
-                start = np.cumsum(per) - per
-                blocks = np.full((int(per.sum()), step), len(idf))
-                owner = np.repeat(np.arange(t.n), n)
-                blocks.reshape(-1)[start[owner] * step + np.arange(len(at)) - bounds[owner]] = np.where(at >= 0, at, len(idf))
-                text = np.repeat(np.arange(t.n), per)
-                mass = np.append(square[blocks].sum(1), 0)
-                # a window is a block and the next one of its text; a lone block is one too
-                alone = per[text] == 1
-                window = np.flatnonzero((np.append(text[1:], -1) == text) | alone)
-                mate = np.where(alone[window], len(blocks), window + 1)
-                first = bounds[text] + (np.arange(len(text)) - start[text]) * step
-                last = np.minimum(first + settings.window, bounds[text + 1])
-                weigh = mass[window] + mass[mate]
-                keep = np.flatnonzero(weigh >= least)
-                found: dict[tuple[int, int], list[int]] = {}
-                for part in range(0, len(keep), 2048):
-                    own, other, heavy = window[keep[part : part + 2048]], mate[keep[part : part + 2048]], weigh[keep[part : part + 2048]]
-                    used = np.unique(np.concatenate([own, other]))
-                    real = used[used < len(blocks)]
-                    sums = np.vstack([space[blocks[real]].sum(1), np.zeros((1, space.shape[1]), np.float32)])
-                    latent = sums[np.searchsorted(used, own)] + sums[np.searchsorted(used, other)]
-                    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                    for p, i in zip(*np.nonzero((latent @ vectors.T >= settings.cosine) & (heavy[:, None] >= least_of)), strict=True):
-                        found.setdefault((int(text[own[p]]), int(i)), []).append(int(own[p]))
-                for (doc, item), windows in found.items():
-                    size = len(items.words[item])
-                    ok, best = False, 0.0
-                    # neighbouring windows make one region, widened by the item's length
-                    a = b = -1
-                    regions: list[tuple[int, int]] = []
-                    for w in windows:
-                        lo, hi = max(int(first[w]) - size, int(bounds[doc])), min(int(last[w]) + size, int(bounds[doc + 1]))
-                        if regions and lo <= b and hi - a <= 8 * (size + settings.window):
-                            b = max(b, hi)
-                            regions[-1] = (a, b)
-                        else:
-                            a, b = lo, hi
-                            regions.append((a, b))
-                    for lo, hi in regions:
-                        flag[:] = False
-                        flag[at[lo:hi]] = True
-                        flag[-1] = False
-                        w = weight[item]
-                        if w[flag[items.words[item]]].sum() < settings.paraphrase * w.sum():
-                            continue  # no subsequence can cover more
-                        good, cover = verify(items.words[item], items.answers[item], at[lo:hi], idf, settings)
-                        ok, best = ok or good, max(best, cover)
-                    if ok:
-                        out.append((ids[base + doc], items.ids[item], best))
+                for finder in finders:
+                    out += [(ids[base + doc], item, cover) for doc, item, cover in finder.find(t, h, bounds)]
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["doc_id", "item_id", "cover"])
 
     return run
 
 
+def _blocks(items: Items, most: int, seed: int) -> Iterator[Items]:
+    """The items in blocks of at most ``most``, dealt at random, each with its own terms only."""
+    order = np.random.default_rng(seed).permutation(len(items.ids))
+    for k in range(0, len(order), most):
+        part = items.part(order[k : k + most])
+        used = np.unique(np.concatenate(part.words))
+        yield replace(part, words=[np.searchsorted(used, w) for w in part.words], vocabulary=items.vocabulary[used], idf=items.idf[used])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id and cover of every benchmark item that a row of ``docs`` holds."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    blocks = max(1, -(-benchmark.count() // max(1, min(settings.block_items, settings.items_per_rank * settings.rank))))
-    total = None
-    for k in range(blocks):
-        block = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").collect()
-        items = read_items([(r.item_id, r.text) for r in block], settings.least_words)
-        if not items.ids:
-            continue
-        counted = {r.term: r.n for r in rows.select("text").mapInArrow(_frequencies(items), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
-        n = counted.get(-1, 0)
-        df = np.array([counted.get(i, 0) for i in range(len(items.vocabulary))])
-        items.idf = np.log((n + 1) / (df + 1)) + 0.05
-        # a sample by a hash of the id, about enough documents for fit_passages windows
-        share = min(1.0, settings.fit_passages / 8 / max(n, 1))
-        drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.substring("text", 1, 20_000).alias("text"))
-        for part in spaces(drawn, items, settings):
-            shared = spark.sparkContext.broadcast(part)
-            found = rows.mapInArrow(_search(shared, settings), "doc_id long, item_id long, cover double")
-            total = found if total is None else total.union(found)
-    return total if total is not None else spark.createDataFrame([], "doc_id long, item_id long, cover double")
+    listed = benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator()
+    items = read_items([(r.item_id, r.text) for r in listed], settings.least_words)
+    empty = spark.createDataFrame([], "doc_id long, item_id long, cover double")
+    if not items.ids:
+        return empty
+    counted = {r.term: r.n for r in rows.select("text").mapInArrow(_frequencies(items), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
+    n = counted.get(-1, 0)
+    items.idf = np.log((n + 1) / (np.array([counted.get(i, 0) for i in range(len(items.vocabulary))]) + 1)) + 0.05
+    # whole documents, drawn by a hash of the id
+    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    drawn = materialise(rows.where(draw < settings.fit_docs / max(n, 1)).select("text"))
+    passes: list[list[Items]] = [[]]
+    room = settings.pass_bytes
+    for block in _blocks(items, max(1, settings.items_per_rank * settings.rank), settings.seed):
+        for part in spaces(drawn, block, settings):
+            if passes[-1] and room < part.basis.nbytes:
+                passes.append([])
+                room = settings.pass_bytes
+            passes[-1].append(part)
+            room -= part.basis.nbytes
+    total = empty
+    for blocks in passes:
+        shared = spark.sparkContext.broadcast(blocks)
+        total = total.union(rows.mapInArrow(_search(shared, settings), "doc_id long, item_id long, cover double"))
+    return total
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
