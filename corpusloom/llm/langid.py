@@ -7,16 +7,19 @@ language with the lowest cross-entropy per character. Each language's cross-entr
 kept back for calibration give the level beyond which a prediction is marked as rejected.
 
 Models are fitted on a bounded sample: about ``sample_docs`` documents for each language, chosen
-by a hash of their id, and half as many for calibration. N-gram counts are made on the executors;
-what reaches the driver is bounded by ``max_ngrams`` for each order.
+by a hash of their id, and half as many for calibration; a language of fewer than ``few`` documents
+is learned from all of them and takes the widest level of the others. N-gram counts are made on the
+executors, and all n-grams of the sample go into the tables, which the sample bounds.
 
 Cases: a null text or one without a letter gets ``und``, score 0 and is rejected; texts of any
 length are read whole; ties go to the language that sorts first; a null lang isn't learned from;
-with nothing to learn from, every text gets ``und``. Extra columns stay.
+a language of one document is learned from it; with nothing to learn from, every text gets ``und``.
+Extra columns stay.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bound_batches, materialise
+from .common import bound_batches, held, materialise
 
 UNKNOWN = "und"
 _PAD = 2  # a character that no word holds
@@ -37,9 +40,9 @@ _PAD = 2  # a character that no word holds
 class Settings:
     order: int = 4
     sample_docs: int = 1500
-    max_ngrams: int = 400_000
-    min_docs: int = 5
+    few: int = 30
     reject_deviations: float = 8.0
+    least_deviation: float = 0.05
     cached_words: int = 400_000
 
 
@@ -157,27 +160,15 @@ def cross_entropies(scorer: _Scorer, t: K.Texts) -> tuple[np.ndarray, np.ndarray
     return -sums / np.maximum(chars, 1)[:, None], chars, letters
 
 
-_scorers: dict[int, _Scorer] = {}
-
-
-def _scorer(shared) -> _Scorer:
-    """The scorer of this process for a broadcast model; an older one makes room."""
-    if shared.id not in _scorers if hasattr(shared, "id") else True:
-        _scorers.clear()
-        _scorers[getattr(shared, "id", 0)] = _Scorer(shared.value)
-    return _scorers[getattr(shared, "id", 0)]
-
-
 class _Shared:
-    """A broadcast model with an id that survives pickling."""
+    """A broadcast model and a name for it that survives pickling."""
 
     def __init__(self, spark, model: Model):
-        self.cast = spark.sparkContext.broadcast(model)
-        self.id = f"{self.cast.id if hasattr(self.cast, 'id') else 0}-{np.random.default_rng().integers(1 << 62)}"
+        self.cast, self.id = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    @property
-    def value(self) -> Model:
-        return self.cast.value
+    def scorer(self) -> _Scorer:
+        """The scorer of this process for the model."""
+        return held(("language", self.id), lambda: _Scorer(self.cast.value))
 
 
 _PREDICTION = "struct<lang:string,score:double,cross_entropy:double,chars:bigint,rejected:boolean>"
@@ -189,7 +180,7 @@ def prediction(text: Column, shared: _Shared) -> Column:
 
     @F.arrow_udf(_PREDICTION)
     def predict(texts: pa.Array) -> pa.Array:
-        scorer = _scorer(shared)
+        scorer = shared.scorer()
         model = scorer.model
         names = np.array([*model.langs, UNKNOWN], object)
         out: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -320,29 +311,29 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    per_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= settings.min_docs).collect()}
+    per_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per_lang:
         return build_model({}, settings)
     # a share of each language's rows by a hash of the id: about sample_docs to learn, half to calibrate
     draw = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("draw")).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)).alias("draw")
-    share = F.create_map(*[x for la, n in per_lang.items() for x in (F.lit(la), F.lit(settings.sample_docs / n))])
-    rows = rows.where(F.col("lang").isin(*per_lang)).select("lang", F.lower("text").alias("text"), draw, share[F.col("lang")].alias("share"))
-    sample = materialise(rows.where("draw < 1.5 * share or share > 0.66"))
-    learning = sample.where("draw < least(share, 0.67)").select("lang", "text")
-    counted = learning.mapInArrow(_count_grams(settings.order), "lang string, gram string, n long")
-    counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(settings.max_ngrams)
+    learned = {la: 1.0 if n < settings.few else min(settings.sample_docs / n, 0.67) for la, n in per_lang.items()}
+    share = F.create_map(*[x for la, part in learned.items() for x in (F.lit(la), F.lit(part))])
+    rows = rows.select("lang", F.lower("text").alias("text"), draw, share[F.col("lang")].alias("share"))
+    sample = materialise(rows.where("draw < 1.5 * share"))
+    counted = sample.where("draw < share").select("lang", "text").mapInArrow(_count_grams(settings.order), "lang string, gram string, n long")
     counts: dict[str, dict[str, int]] = {}
-    for r in counted.toLocalIterator():
+    for r in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(r.lang, {})[r.gram] = r.n
     model = build_model(counts, settings)
     if not model.langs:
         return model
-    checked = sample.where("draw >= least(share, 0.67)").select("lang", prediction(F.col("text"), _Shared(spark, model)).alias("p"))
+    # written before it is filtered: else each use of the prediction takes a Python worker of its own
+    checked = materialise(sample.where("draw >= share").select("lang", prediction(F.col("text"), _Shared(spark, model)).alias("p")))
     checked = checked.where("p.lang = lang and p.chars >= 100")
     weight = F.sqrt(F.least(F.lit(1.0), F.col("p.chars") / LEVEL_CHARS))
     found = {r.lang: r for r in checked.groupBy("lang").agg(F.avg("p.cross_entropy").alias("m"), F.stddev_pop(F.col("p.cross_entropy") * weight).alias("d")).collect()}
-    middle = max((r.m for r in found.values()), default=3.0)
-    level = np.array([[found[la].m, max(found[la].d, 0.2)] if la in found else [middle, 0.2] for la in model.langs])
+    widest = [max((r.m for r in found.values()), default=3.0), max([settings.least_deviation, *(r.d for r in found.values())])]
+    level = np.array([[found[la].m, max(found[la].d, settings.least_deviation)] if la in found else widest for la in model.langs])
     return Model(model.langs, model.order, model.grams, model.backoff, model.floor, level, settings)
 
 
