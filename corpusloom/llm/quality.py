@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bound_batches
+from .common import bound_batches, forget, materialise, small
 
 
 @dataclass(frozen=True)
@@ -156,12 +156,15 @@ def learn_references(docs: DataFrame, rules: Rules) -> References:
     rows = docs.select("lang", "text").where("lang is not null and text is not null")
     keep = int(np.ceil(2 / rules.min_share))
     found = rows.mapInArrow(_summaries(keep), "lang string, word string, seen long, total long")
-    found = found.groupBy("lang", "word").agg(F.sum("seen").alias("seen"), F.sum("total").alias("total"))
-    totals = found.where("word is null").select("lang", F.col("total").alias("words"))
+    found = materialise(found.groupBy("lang", "word").agg(F.sum("seen").alias("seen"), F.sum("total").alias("total")))
+    # only languages with enough words get a reference
+    totals = found.where("word is null").select("lang", F.col("total").alias("words")).where(F.col("words") >= rules.min_reference_words)
+    n_langs = totals.count()
     # a survivor's count is short by at most words / keep, half of the share asked for
-    likely = found.where("word is not null").join(F.broadcast(totals), "lang").where(F.col("seen") >= F.col("words") * (rules.min_share - 1 / keep))
+    likely = found.where("word is not null").join(small(totals, n_langs), "lang").where(F.col("seen") >= F.col("words") * (rules.min_share - 1 / keep))
     candidates = sorted({r.word for r in likely.select("word").distinct().collect()})
     exact = rows.mapInArrow(_exact_counts(candidates), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    exact = exact.join(small(totals.select("lang"), n_langs), "lang", "left_semi")
     by_lang: dict[str, np.ndarray] = {}
     for r in exact.collect():
         by_lang.setdefault(r.lang, np.zeros(len(candidates) + 1 + len(K.CLASSES)))[r.slot + 1] = r.n
@@ -202,6 +205,7 @@ def verdict(text: Column, refs: References, rules: Rules) -> Column:
 
     @F.arrow_udf(_VERDICT)
     def judge(texts: pa.Array) -> pa.Array:
+        forget()
         union = sorted({w for ws in refs.words for w in ws})
         look = _Lookup(union)
         slots = [np.array([union.index(w) for w in ws], np.int64) for ws in refs.words]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bound_batches, in_learning_part, materialise
+from .common import bound_batches, forget, in_learning_part, materialise, small
 
 STATISTICS = (
     "n_words",
@@ -87,6 +87,7 @@ def statistics(text: Column) -> Column:
 
     @F.arrow_udf("struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">")
     def run(texts: pa.Array) -> pa.Array:
+        forget()
         parts: list[np.ndarray] = []
         for _, _, t in K.pieces(texts):
             base, chars, _, _ = K.basic_counts(t)
@@ -147,9 +148,13 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> RuleModel:
 
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> RuleModel:
     """Learns from the rows of ``docs`` (doc_id and a struct ``stats``) in the learning part."""
-    own = labels.select(F.col("doc_id").alias("_doc"), F.col("quality").alias("label")).where("label is not null")
+    own = _own_labels(labels)
     rows = docs.where(in_learning_part(F.col("doc_id"))).select(F.col("doc_id").alias("_doc"), "stats").join(own, "_doc")
-    return fit(materialise(rows.select("stats", "label").coalesce(8)), settings)
+    return fit(materialise(rows.select("stats", "label")), settings)
+
+
+def _own_labels(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").alias("_doc"), F.col("quality").alias("label")).where("label is not null and _doc is not null")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
@@ -160,7 +165,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     stats, id_ = statistics(F.col("text")).alias("stats"), F.col("doc_id").alias("doc_id")
     row = F.struct(*keep).alias("row")  # in a struct of their own, columns can't clash with ours
     if "text" in keep:
-        learned = learn(materialise(docs.where(in_learning_part(F.col("doc_id"))).select(id_, stats)), labels, settings)
+        # of the texts, only the labelled ones are read for learning
+        known = materialise(_own_labels(labels).select("_doc").distinct())
+        texts = docs.where(in_learning_part(F.col("doc_id"))).select("doc_id", "text")
+        texts = texts.join(small(known, known.count()), F.col("doc_id") == F.col("_doc"), "left_semi")
+        learned = learn(materialise(texts.select(id_, stats)), labels, settings)
         rated = docs.select(row, stats)
     else:
         rated = materialise(docs.select(row, id_, stats))

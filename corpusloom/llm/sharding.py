@@ -8,7 +8,9 @@ At scale this runs as a tree: groups are dealt by hash into buckets of about ``b
 each bucket is differenced in one task, and its partial partition (one row per shard) goes up;
 ``fan_in`` partial partitions are differenced in a task of the next level until one is left. No
 task holds more than one bucket, and texts are never shuffled, only their 128-bit keys. A hot
-group is counted before the shuffle, and rows find their shard in a join that Spark can split.
+group is counted before the shuffle; the shards of the few largest groups are broadcast to the
+rows, the others joined. Slots are numbered within the parts of a written table, so a hot group or
+an id on very many rows is spread over as many parts as the table has.
 
 Cases: null texts have size ``overhead`` and form one group, apart from empty texts; repeated
 rows each take a slot; ties in spread go by order of the keys; an empty table gives no rows.
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_key
+from .common import join_counted, materialise, small, text_key
 
 
 def differencing(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def _spread_partials(shards: int):
     return run
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, bucket_groups: int = 8192, fan_in: int = 64, slot_parts: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, bucket_groups: int = 8192, fan_in: int = 64) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) of every row."""
     text = F.col("text")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead
@@ -87,11 +89,11 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, bucke
         "doc_id", size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(text_key(text), F.lit(b"")).alias("key")
     )
     rows = materialise(rows)
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    n = groups.count()
+    groups = materialise(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets = max(1, -(-n // bucket_groups))
     dealt = materialise(
-        groups.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(_spread_groups(shards), "bucket long, key binary, bytes long, bin long")
+        groups.select("key", "bytes").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(_spread_groups(shards), "bucket long, key binary, bytes long, bin long")
     )
     # the tree above the buckets: `node` at this level, `bin` as its tasks number them
     place = dealt.groupBy(F.col("bucket").alias("node"), "bin").agg(F.sum("bytes").alias("bytes"))
@@ -106,14 +108,14 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, bucke
         place = moved.groupBy(F.floor(F.col("node") / fan_in).alias("node"), F.col("up").alias("bin")).agg(F.sum("bytes").alias("bytes"))
         level = -(-level // fan_in)
     where = where.select("bucket", F.col("start").alias("bin"), F.col("bin").cast("int").alias("shard"))
-    assigned = dealt.select("bucket", "bin", "key").join(where, ["bucket", "bin"]).select("key", "shard")
-    placed = materialise(rows.join(assigned, "key").select("doc_id", "size", "text_crc32", "shard"))
-    # slots: rows are numbered within parts of a shard, after the rows of the parts before
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slot_parts)).alias("part")
-    parts = placed.groupBy("shard", part).agg(F.count("*").alias("n"))
+    assigned = dealt.select("bucket", "bin", "key").join(where, ["bucket", "bin"]).select("key", "shard").join(groups.select("key", "n"), "key")
+    placed = join_counted(rows, materialise(assigned), total).select("doc_id", "size", "text_crc32", "shard")
+    placed = materialise(placed.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
+    # slots: rows are numbered within the parts of the written table, after the rows of the parts before
+    parts = materialise(placed.groupBy("shard", "part").agg(F.count("*").alias("n")))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = parts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
-    numbered = placed.withColumn("part", part).withColumn("at", F.row_number().over(own) - 1)
-    # `first` has at most shards x slot_parts rows
-    return numbered.join(F.broadcast(first), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"))
+    own = Window.partitionBy("shard", "part").orderBy("row")
+    numbered = placed.withColumn("at", F.row_number().over(own) - 1)
+    slot = (F.col("first") + F.col("at")).cast("long").alias("slot")
+    return numbered.join(small(first, parts.count()), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", slot)

@@ -15,6 +15,7 @@ the default. Extra columns stay.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -109,11 +112,11 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max_
     in a struct column ``url_verdict``."""
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; at most {max_rules} are broadcast")
-    shared = pages.sparkSession.sparkContext.broadcast(list(rules))
+    shared, name = pages.sparkSession.sparkContext.broadcast(list(rules)), uuid.uuid4().hex
 
     @F.arrow_udf("struct<rule:string,verdict:string>")
     def judge(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        trie = _trie(shared)
+        trie = held(("urls", name), lambda: Trie(shared.value))
         found = [trie.find(h, p) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays(
             [pa.array([r and r.name for r in found], pa.string()), pa.array([r.verdict if r else default for r in found], pa.string())], names=["rule", "verdict"]
@@ -124,14 +127,3 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max_
     split = pages.select(F.struct(*kept).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
     judged = split.select("*", judge(F.col("host"), F.col("path")).alias("found"))
     return judged.select(*[F.col("row")[c].alias(c) for c in kept], F.struct("host", "path", "found.rule", "found.verdict").alias("url_verdict"))
-
-
-_tries: dict = {}
-
-
-def _trie(shared) -> Trie:
-    key = tuple(shared.value)
-    if key not in _tries:
-        _tries.clear()
-        _tries[key] = Trie(key)
-    return _tries[key]
