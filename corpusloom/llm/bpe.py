@@ -16,6 +16,7 @@ that don't form UTF-8 decode with replacement characters. Extra columns stay.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .common import held
 #: The byte-level pre-tokenizer's pattern, with \s written as the Unicode property.
 _WS = r"\p{White_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|{_WS}+(?!\P{{White_Space}})|{_WS}+"
-_CACHE, _PAIRS = 80_000, 80_000
+_CACHE, _PAIRS = 80_000, 250_000
 _BASE = -1  # the rank of a single byte
 
 
@@ -44,6 +45,22 @@ def byte_characters() -> list[str]:
     return out
 
 
+class Recent(dict):
+    """A bounded table of what was met lately: when it is full, it becomes ``old`` and begins anew;
+    what is asked for again comes back from ``old``."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def keep(self, key, value):
+        if len(self) >= _CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     def __init__(self, path: str):
         import ahocorasick
@@ -78,16 +95,15 @@ class Encoder:
             self.bytes[i] = text.encode()
         names = sorted(self.special, key=len, reverse=True)  # of two that begin at one place, the longer
         self.special_names = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.wholes: dict[int, bool] = {}
+        self.spaced, self.bare, self.words = Recent(), Recent(), Recent()
         self.pattern = regex.compile(PATTERN)
         self.odd = regex.compile(rf"{_WS}{_WS}|^{_WS}|{_WS}\Z|[^\P{{White_Space}} \n]")
 
     def stands(self, a: int, b: int) -> bool:
         """Whether tokens ``a`` and ``b`` side by side stay unmerged over their border."""
-        key = (a, b)
+        key = a << 24 | b
         found = self.pairs.get(key)
         if found is None:
             rank, pairs, limit = self.rank, self.rank_of_pair, len(self.rank_of_pair) + 1
@@ -110,14 +126,13 @@ class Encoder:
 
     def whole(self, t: int) -> bool:
         """Whether a token's own bytes are encoded as that token."""
-        key = (-1, t)
-        found = self.pairs.get(key)
+        found = self.wholes.get(t)
         if found is None:
             found = t not in self.halves
             if not found:
                 a, b = self.halves[t]
                 found = self.whole(a) and self.whole(b) and self._until(a, b, self.rank[t])
-            self.pairs[key] = found
+            self.wholes[t] = found
         return found
 
     def _until(self, a: int, b: int, last: int) -> bool:
@@ -139,13 +154,25 @@ class Encoder:
         text = word.encode().decode("latin-1").translate(self.letters)
         n = len(text)
         last, back = [-1] * (n + 1), [0] * (n + 1)
+        wholes, pairs = self.wholes.get, self.pairs.get
         for end, (size, token) in self.automaton.iter(text):
             i = end + 1
             if last[i] >= 0:
                 continue  # longer tokens come first, and only one can be right
             j = i - size
-            if self.whole(token) and (j == 0 or (last[j] >= 0 and self.stands(last[j], token))):
-                last[i], back[i] = token, j
+            if j:
+                before = last[j]
+                if before < 0:
+                    continue
+                own = wholes(token)
+                if not (self.whole(token) if own is None else own):
+                    continue
+                fits = pairs(before << 24 | token)
+                if not (self.stands(before, token) if fits is None else fits):
+                    continue
+            elif not self.whole(token):
+                continue
+            last[i], back[i] = token, j
         out, i = [], n
         while i:
             out.append(last[i])
@@ -155,9 +182,8 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= _CACHE:
-                self.words.clear()
-            found = self.words[word] = np.array(self.encode_word(word), "<u4").tobytes()
+            found = self.words.old.get(word) or array("I", self.encode_word(word)).tobytes()
+            self.words.keep(word, found)
         return found
 
     def _pieces(self, text: str) -> bytes:
@@ -177,11 +203,8 @@ class Encoder:
             out.append(spaced.get(piece) or self._learn(spaced, piece, piece if piece[0] == "\n" else " " + piece))
         return b"".join(out)
 
-    def _learn(self, table: dict[str, bytes], key: str, text: str) -> bytes:
-        if len(table) >= _CACHE:
-            table.clear()
-        found = table[key] = self._pieces(text)
-        return found
+    def _learn(self, table: Recent, key: str, text: str) -> bytes:
+        return table.keep(key, table.old.get(key) or self._pieces(text))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
