@@ -3,6 +3,8 @@ letters beside digits, keys of words. All are column expressions over small lite
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ EMOJI_NAMES = {"😀": "улыбка", "😂": "смех до слёз", "👍":
 
 
 def _table(names: dict[str, str]) -> Column:
-    return F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    return F.from_json(F.lit(json.dumps(names, ensure_ascii=False)), "map<string,string>")
 
 
 def spelled(word: Column, names: dict[str, str]) -> Column:

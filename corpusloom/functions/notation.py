@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import numerals as N
 from .regexmap import fold, regex_map
-from .rules import UNITS
+from .rules import UNITS, counted, noun_forms
 
 #: Suffixes of ordinals: gender and case.
 _SUFFIXES = {
@@ -87,10 +87,9 @@ def unit_ranges(text: Column) -> Column:
     """``от 5 до 7 км``: both numbers and the unit in the genitive."""
 
     def say(m, a, b, unit, *_):
-        out = F.lit(None).cast("string")
-        for name, (_, _, many, gender) in UNITS.items():
-            out = F.when(F.lower(unit) == name, F.concat_ws(" ", F.lit("от"), N.cardinal(a.cast("long"), "gen", gender), F.lit("до"), N.cardinal(b.cast("long"), "gen", gender), F.lit(many))).otherwise(out)
-        return out
+        own = noun_forms(UNITS, unit)
+        said = [F.when(own[3] == "f", N.cardinal(x.cast("long"), "gen", "f")).otherwise(N.cardinal(x.cast("long"), "gen")) for x in (a, b)]
+        return F.when(own.isNotNull(), F.concat_ws(" ", F.lit("от"), said[0], F.lit("до"), said[1], own[2]))
 
     names = "|".join(sorted(UNITS, key=len, reverse=True))
     return regex_map(text, rf"(?iu)(?<!\p{{L}})от (\d{{1,9}}) до (\d{{1,9}})\s?({names})(?!\p{{L}})\.?", 3, say)
@@ -104,12 +103,11 @@ def half_scales(text: Column) -> Column:
     """``2,5 млн`` with a half; one and a half has a word of its own; not after a final one."""
 
     def say(m, whole, scale, *_):
-        n, out = whole.cast("long"), F.lit(None).cast("string")
-        for name, (_, few, _, gender) in _SCALES.items():
-            half = "полторы" if gender == "f" else "полтора"
-            said = F.when(n == 1, F.lit(f"{half} {few}")).when((n > 1) & (n % 10 != 1), F.concat(N.cardinal(n, gender=gender), F.lit(" с половиной "), F.when(N.plural_form(n) == 2, _SCALES[name][2]).otherwise(few)))
-            out = F.when(F.lower(scale) == name, said).otherwise(out)
-        return out
+        n, own = whole.cast("long"), noun_forms(_SCALES, scale)
+        feminine = own[3] == "f"
+        number = F.when(feminine, N.cardinal(n, gender="f")).otherwise(N.cardinal(n))
+        half = F.concat(F.when(feminine, "полторы ").otherwise("полтора "), own[1])
+        return F.when(n == 1, half).when((n > 1) & (n % 10 != 1), F.concat(number, F.lit(" с половиной "), F.when(N.plural_form(n) == 2, own[2]).otherwise(own[1])))
 
     return regex_map(text, rf"(?iu)(?<![\d.,])(\d{{1,3}}),5\s?({'|'.join(_SCALES)})(?!\p{{L}})\.?", 2, say)
 
@@ -118,11 +116,8 @@ def scales(text: Column) -> Column:
     """``5 тыс.``, ``3,2 млрд``: agreement, or the genitive singular after a fraction."""
 
     def say(m, whole, digits, scale, *_):
-        n, out = whole.cast("long"), F.lit(None).cast("string")
-        for name, (one, few, many, gender) in _SCALES.items():
-            plain = F.concat_ws(" ", N.cardinal(n, gender=gender), N.plural(n, one, few, many))
-            out = F.when(F.lower(scale) == name, F.when(digits == "", plain).otherwise(F.concat(N.decimal_words(n, digits), F.lit(f" {few}")))).otherwise(out)
-        return out
+        n, own = whole.cast("long"), noun_forms(_SCALES, scale)
+        return F.when(digits == "", counted(_SCALES, n, scale)).otherwise(F.concat(N.decimal_words(n, digits), F.lit(" "), own[1]))
 
     return regex_map(text, rf"(?iu)(?<![\d.,])(\d{{1,9}})(?:,(\d{{1,4}}))?\s?({'|'.join(_SCALES)})(?!\p{{L}})\.?", 3, say)
 

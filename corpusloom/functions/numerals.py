@@ -82,7 +82,9 @@ def hundred_words(case: str) -> list[str]:
 
 
 def _pick(words: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(w) for w in words]), index.cast("int"))
+    """The word at ``index``. One string that is split is folded into a constant array when the plan
+    is made, and keeps the plan far smaller than an array of literals would."""
+    return F.get(F.split(F.lit("|".join(words)), r"\|", -1), index.cast("int"))
 
 
 def plural_form(n: Column) -> Column:
@@ -97,15 +99,19 @@ def plural(n: Column, one: str, few: str, many: str) -> Column:
     return _pick([one, few, many], plural_form(n))
 
 
+def _words_below_1000(case: str, gender: str) -> list[str]:
+    units, tens, hundreds = unit_words(case, gender), ten_words(case), hundred_words(case)
+    out = []
+    for n in range(1000):
+        rest = n % 100
+        parts = [hundreds[n // 100], units[rest]] if rest < 20 else [hundreds[n // 100], tens[rest // 10], units[rest % 10]]
+        out.append(" ".join(w for w in parts if w))
+    return out
+
+
 def _under_1000(n: Column, case: str, gender: str) -> Column:
-    n = n.cast("int")
-    rest = n % 100
-    small = rest < 20
-    return F.array(
-        _pick(hundred_words(case), F.floor(n / 100)),
-        F.when(small, F.lit("")).otherwise(_pick(ten_words(case), F.floor(rest / 10))),
-        _pick(unit_words(case, gender), F.when(small, rest).otherwise(rest % 10)),
-    )
+    """Words for 0 (the empty string) to 999, out of one constant table."""
+    return _pick(_words_below_1000(case, gender), n)
 
 
 def cardinal(n: Column, case: str = "nom", gender: str = "m") -> Column:
@@ -118,18 +124,22 @@ def _cardinal(n: Column, case: str, gender: str) -> Column:
     size = F.abs(n)
     words = []
     for i in range(len(_SCALES), 0, -1):
-        group = F.floor(size / 1000**i) % 1000
         one, more = _SCALES[i - 1]
-        if case in ("nom", "acc"):
-            noun = _pick([one[k], one[1], more[1]], plural_form(group))
-        else:
-            noun = F.when(plural_form(group) == 0, one[k]).otherwise(more[k])
-        own = F.concat(_under_1000(group, case, "f" if i == 1 else "m"), F.array(noun))
-        words.append(F.when(group > 0, own).otherwise(F.array().cast("array<string>")))
-    words.append(_under_1000(size % 1000, case, gender))
+        # the noun for each group of three digits, from one table of a hundred endings
+        forms = [one[k], one[1], more[1]] if case in ("nom", "acc") else [one[k], more[k], more[k]]
+        nouns = [forms[2] if 11 <= x <= 19 else forms[0] if x % 10 == 1 else forms[1] if 2 <= x % 10 <= 4 else forms[2] for x in range(100)]
+        group = F.floor(size / 1000**i) % 1000
+        words.append(F.when(group > 0, F.concat_ws(" ", _under_1000(group, case, "f" if i == 1 else "m"), _pick(nouns, group % 100))))
+    rest = size % 1000
+    words.append(F.when(rest > 0, _under_1000(rest, case, gender)))
     zero = ("ноль", "ноля", "нолю", "ноль", "нолём", "ноле")[k]
-    spoken = F.array_join(F.filter(F.concat(*words), lambda w: w != ""), " ")
-    return F.when(n == 0, zero).otherwise(F.concat(F.when(n < 0, "минус ").otherwise(""), spoken))
+    return F.when(n == 0, zero).otherwise(F.concat(F.when(n < 0, "минус ").otherwise(""), F.concat_ws(" ", *words)))
+
+
+def _fused_heads() -> list[str]:
+    """Genitive numerals without spaces, as round thousands begin; 100 and 90 keep their o."""
+    out = [w.replace(" ", "") for w in _words_below_1000("gen", "m")]
+    return ["сто" if w == "ста" else w[:-1] + "о" if w.endswith("девяноста") else w for w in out]
 
 
 def ordinal_words(value: int, case: str, gender: str) -> str:
@@ -149,29 +159,22 @@ def ordinal(n: Column, case: str = "nom", gender: str = "m") -> Column:
     return let(n.cast("long"), lambda v: _ordinal(v, case, gender))
 
 
-def _ordinal(n: Column, case: str, gender: str) -> Column:
-    rest = n % 100
-    hundred, unit = n % 1000, n % 10
-    last = (
-        F.when((rest == 0) & (hundred != 0), hundred)
-        .when(rest == 0, F.lit(0))
-        .when(rest < 20, rest)
-        .when(unit != 0, unit)
-        .otherwise(rest)
-    )
-    return let(last, lambda x: _ordinal_after(n, x, case, gender))
+def _ordinals_below_1000(case: str, gender: str) -> list[str]:
+    """Ordinals for 0 (the empty string) to 999: the last word is the ordinal."""
+    heads, out = _words_below_1000("nom", "m"), [""]
+    for n in range(1, 1000):
+        rest = n % 100
+        last = n if rest == 0 else rest if rest < 20 or rest % 10 == 0 else rest % 10
+        out.append(" ".join(w for w in (heads[n - last], ordinal_words(last, case, gender)) if w))
+    return out
 
 
-def _ordinal_after(n: Column, last: Column, case: str, gender: str) -> Column:
-    simple = {v: ordinal_words(v, case, gender) for v in _ORDINAL_STEMS}
-    tail = F.create_map(*[x for v, w in simple.items() for x in (F.lit(v).cast("long"), F.lit(w))])
-    head = n - last
-    k = CASES.index(case)
-    thousand = F.floor(n / 1000)
-    left = F.when(thousand == 1, F.lit("")).otherwise(F.regexp_replace(F.regexp_replace(F.array_join(F.filter(_under_1000(thousand, "gen", "m"), lambda w: w != ""), ""), "^ста$", "сто"), "девяноста$", "девяносто"))
-    fused = F.concat(left, F.lit("тысячн" + _HARD[gender][k]))
-    before = F.when(head == 0, F.lit("")).otherwise(F.concat(F.regexp_replace(cardinal(head), "^одна тысяча", "тысяча"), F.lit(" ")))
-    return F.when(n <= 0, F.lit(None).cast("string")).when(last == 0, fused).otherwise(F.concat(before, tail[last]))
+def _ordinal(n: Column, case: str, gender: str) -> Column:
+    thousand, rest = F.floor(n / 1000), n % 1000
+    fused = F.concat(F.when(thousand == 1, "").otherwise(_pick(_fused_heads(), thousand)), F.lit("тысячн" + _HARD[gender][CASES.index(case)]))
+    one, more = _SCALES[0]
+    head = F.when(thousand == 1, F.lit(one[0] + " ")).when(thousand > 1, F.concat(_under_1000(thousand, "nom", "f"), F.lit(" "), plural(thousand, one[0], one[1], more[1]), F.lit(" "))).otherwise("")
+    return F.when(n <= 0, F.lit(None).cast("string")).when(rest == 0, fused).otherwise(F.concat(head, _pick(_ordinals_below_1000(case, gender), rest)))
 
 
 #: Denominators by the number of digits, in the genitive plural and for one part.
@@ -200,8 +203,8 @@ def to_roman(n: Column) -> Column:
 
 def from_roman(text: Column) -> Column:
     """The value of a Roman numeral (subtractive); null for anything else."""
-    value = F.create_map(*[x for v, s in _ROMAN if len(s) == 1 for x in (F.lit(s), F.lit(v))])
-    marks = F.transform(F.split(F.upper(text), ""), lambda c: value[c])
+    value = F.str_to_map(F.lit(",".join(f"{s}:{v}" for v, s in _ROMAN if len(s) == 1)))
+    marks = F.transform(F.split(F.upper(text), ""), lambda c: value[c].cast("int"))
     last = F.struct(F.lit(0).alias("total"), F.lit(0).alias("right"))
     total = F.aggregate(
         F.reverse(marks), last, lambda s, v: F.struct((s["total"] + F.when(v < s["right"], -v).otherwise(v)).alias("total"), v.alias("right")), lambda s: s["total"]
@@ -258,4 +261,4 @@ def money_words(cents: Column, major: tuple[str, str, str], minor: tuple[str, st
 def digit_words(text: Column) -> Column:
     """Digits one by one."""
     names = ["ноль", *unit_words("nom")[1:10]]
-    return F.array_join(F.transform(F.split(text, ""), lambda d: F.get(F.array(*[F.lit(x) for x in names]), d.cast("int"))), " ")
+    return F.array_join(F.transform(F.split(text, ""), lambda d: _pick(names, d)), " ")

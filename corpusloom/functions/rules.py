@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -129,21 +130,28 @@ MONEY = {
 }
 
 
-def _counted(table: dict[str, tuple[str, str, str, str]], n: Column, key: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, (one, few, many, gender) in table.items():
-        out = F.when(F.lower(key) == name, F.concat_ws(" ", N.cardinal(n, gender=gender), N.plural(n, one, few, many))).otherwise(out)
-    return out
+def noun_forms(table: dict[str, tuple[str, str, str, str]], key: Column) -> Column:
+    """Forms for one, a few and many, and the gender, of the noun that ``key`` names, out of one
+    constant table; null for others."""
+    lines = F.from_json(F.lit(json.dumps({k: "|".join(v) for k, v in table.items()}, ensure_ascii=False)), "map<string,string>")
+    return F.split(lines[F.lower(key)], r"\|")
+
+
+def counted(table: dict[str, tuple[str, str, str, str]], n: Column, key: Column) -> Column:
+    """The number and the form of the noun that ``key`` names; null for others."""
+    own = noun_forms(table, key)
+    number = F.when(own[3] == "f", N.cardinal(n, gender="f")).otherwise(N.cardinal(n)) if any(v[3] == "f" for v in table.values()) else N.cardinal(n)
+    return F.when(own.isNotNull(), F.concat_ws(" ", number, F.get(own, N.plural_form(n))))
 
 
 def units(text: Column) -> Column:
     names = "|".join(sorted(UNITS, key=len, reverse=True))
-    return regex_map(text, rf"(?iu)(?<![\d.,])(\d{{1,12}})\s?({names})(?![\p{{L}}\d])\.?(?!\p{{L}})", 2, lambda m, n, u, *_: _counted(UNITS, n.cast("long"), u))
+    return regex_map(text, rf"(?iu)(?<![\d.,])(\d{{1,12}})\s?({names})(?![\p{{L}}\d])\.?(?!\p{{L}})", 2, lambda m, n, u, *_: counted(UNITS, n.cast("long"), u))
 
 
 def money(text: Column) -> Column:
-    text = regex_map(text, r"([$€₽])\s?(\d{1,12})(?![\d.,])", 2, lambda m, s, n, *_: _counted(MONEY, n.cast("long"), s))
-    return regex_map(text, r"(?iu)(?<![\d.,])(\d{1,12})\s?(руб|коп|[$€₽])(?!\p{L})\.?", 2, lambda m, n, s, *_: _counted(MONEY, n.cast("long"), s))
+    text = regex_map(text, r"([$€₽])\s?(\d{1,12})(?![\d.,])", 2, lambda m, s, n, *_: counted(MONEY, n.cast("long"), s))
+    return regex_map(text, r"(?iu)(?<![\d.,])(\d{1,12})\s?(руб|коп|[$€₽])(?!\p{L})\.?", 2, lambda m, n, s, *_: counted(MONEY, n.cast("long"), s))
 
 
 def roman(text: Column) -> Column:
@@ -219,7 +227,7 @@ _ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp":
 
 def decode_entities(text: Column) -> Column:
     """Named, decimal and hexadecimal entities; unknown ones stay."""
-    names = F.create_map(*[x for k, v in _ENTITIES.items() for x in (F.lit(k), F.lit(v))])
+    names = F.from_json(F.lit(json.dumps(_ENTITIES)), "map<string,string>")
 
     def one(m, name, *_):
         digits = F.regexp_extract(name, r"^#(\d+)$", 1)
@@ -256,26 +264,65 @@ def links(text: Column, mode: str = "host") -> Column:
     return let(text, lambda t: F.when(has_url(t), regex_map(t, _URL, 0, shown)).otherwise(t))
 
 
-#: The chain: key, rule, on by default. The order is part of the contract.
-CHAIN: list[tuple[str, Callable[[Column], Column], bool]] = [
-    ("link_domain", links, True),
-    ("punct", lambda t: outside_urls(t, punctuation), True),
-    ("phones", phones, True),
-    ("thousands", thousands, True),
-    ("footnotes", footnotes, True),
-    ("roman", roman, True),
-    ("dates", dates, True),
-    ("times", times, True),
-    ("money", money, True),
-    ("units", units, True),
-    ("fractions", fractions, True),
-    ("cases", cases, True),
-    ("percents", percents, True),
-    ("decimals", decimals, True),
-    ("numbers", whole_numbers, True),
-    ("homoglyphs", homoglyphs, True),
-    ("latin", transliterate, False),
-]
+def _chain() -> list[tuple[str, Callable[[Column], Column], bool]]:
+    """The chain: key, rule, on by default. The order is part of the contract: phones before
+    thousands, degrees before Roman numerals, money before units, half scales before cases, cases
+    before scales, days of a month before bare numbers."""
+    from . import letters as L
+    from . import marks as M
+    from . import notation as W
+
+    return [
+        ("link_domain", links, True),
+        ("drop_images", lambda t: M.image_marks(t, drop=True), False),
+        ("punct", lambda t: outside_urls(t, punctuation), True),
+        ("symbol_pauses", M.symbol_pauses, True),
+        ("emoji", L.emoji_names, True),
+        ("smileys", L.smiley_names, True),
+        ("phones", phones, True),
+        ("codes", W.requisites, True),
+        ("signs", W.signs_before_numbers, True),
+        ("thousands", thousands, True),
+        ("footnotes", footnotes, True),
+        ("degrees", W.degrees, True),
+        ("centuries", M.arabic_centuries, True),
+        ("roman", roman, True),
+        ("cyrillic_codes", L.codes, True),
+        ("dates", dates, True),
+        ("times", times, True),
+        ("years", W.years, True),
+        ("suffixes", W.ordinal_suffixes, True),
+        ("gen_suffix", W.case_suffixes, True),
+        ("dimensions", W.dimensions, True),
+        ("arith", W.arithmetic, True),
+        ("powers", W.powers, True),
+        ("spoons", W.spoons, True),
+        ("unit_ranges", W.unit_ranges, True),
+        ("money", money, True),
+        ("units", units, True),
+        ("fractions", fractions, True),
+        ("page_ranges", W.page_ranges, True),
+        ("abbrev", W.abbreviations, True),
+        ("number_signs", W.number_signs, True),
+        ("day_ranges", W.day_ranges, True),
+        ("sections", W.section_numbers, True),
+        ("half_scales", W.half_scales, True),
+        ("cases", cases, True),
+        ("scales", W.scales, True),
+        ("day_month", W.day_month, True),
+        ("percents", percents, True),
+        ("decimals", decimals, True),
+        ("letter_digit", L.letters_beside_digits, True),
+        ("numbers", whole_numbers, True),
+        ("first_pl", M.feminine_accusative, True),
+        ("about", M.before_vowel_numerals, True),
+        ("camel", L.camel_case, True),
+        ("homoglyphs", homoglyphs, True),
+        ("spell", L.acronyms, False),
+        ("latin", transliterate, False),
+        ("symbol_names", L.symbol_names, False),
+        ("pause_parens", L.pauses_for_parentheses, False),
+    ]
 
 
 @dataclass(frozen=True)
@@ -285,7 +332,7 @@ class Switches:
     changed: frozenset[str] = field(default_factory=frozenset)
 
     def on(self, key: str) -> bool:
-        return next(default for k, _, default in CHAIN if k == key) != (key in self.changed)
+        return next(default for k, _, default in _chain() if k == key) != (key in self.changed)
 
     def flipped(self, key: str) -> Switches:
         return replace(self, changed=self.changed ^ {key})
@@ -293,7 +340,7 @@ class Switches:
 
 def normalise(df: DataFrame, column: str = "text", switches: Switches = Switches()) -> DataFrame:
     """The whole chain over one column, one projection per rule that is on; null stays null."""
-    for key, rule, _ in CHAIN:
-        if switches.on(key):
+    for key, rule, default in _chain():
+        if default != (key in switches.changed):
             df = df.withColumn(column, rule(F.col(column)))
     return df

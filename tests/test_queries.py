@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corpusloom.plans import examples, registry  # noqa: F401
+from corpusloom.plans import examples, registry, surveys  # noqa: F401
 
 from .conftest import SF
 

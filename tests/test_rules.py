@@ -63,7 +63,7 @@ def test_rules_keep_null_and_empty(spark):
 
 
 def test_switched_off_rules_add_nothing(spark):
-    off = R.Switches(frozenset(k for k, _, default in R.CHAIN if default))
+    off = R.Switches(frozenset(k for k, _, default in R._chain() if default))
     df = spark.createDataFrame([("5 км",)], "text string")
     assert R.normalise(df, "text", off).first().text == "5 км"
     assert R.Switches().on("dates") and not R.Switches().flipped("dates").on("dates")
