@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,24 +80,40 @@ def anchors(source: list[str], other: list[str], reach: int = 8) -> list[tuple[i
     return out
 
 
-def subsequence(a: list[str], b: list[str], cells: int = 4_000_000) -> list[tuple[int, int]]:
-    """A longest common subsequence as index pairs; greedy anchors above the cell limit."""
-    if len(a) * len(b) > cells:
-        return anchors(a, b)
-    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with every beginning of ``b``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
+    return row
+
+
+def subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence as index pairs. Equal ends are matched first; what is between is
+    halved where the two halves' lengths add up best, so memory stays linear at any size."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (a, b))
+    out: list[tuple[int, int]] = []
+    work = [(0, len(x), 0, len(y))]
+    while work:
+        i, k, j, m = work.pop()
+        while i < k and j < m and x[i] == y[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif t[i + 1][j] >= t[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+        while i < k and j < m and x[k - 1] == y[m - 1]:
+            k, m = k - 1, m - 1
+            out.append((k, m))
+        if i == k or j == m:
+            continue
+        if k - i == 1:
+            at = np.flatnonzero(y[j:m] == x[i])
+            if len(at):
+                out.append((i, j + int(at[0])))
+            continue
+        half = (i + k) // 2
+        best = int(np.argmax(_lengths(x[i:half], y[j:m]) + _lengths(x[half:k][::-1], y[j:m][::-1])[::-1]))
+        work += [(i, half, j, j + best), (half, k, j + best, m)]
+    return sorted(out)
 
 
 _TOKEN = re.compile(r"\w[\w+́-]*", re.UNICODE)

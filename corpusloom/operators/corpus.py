@@ -85,6 +85,16 @@ def contexts(tokens: DataFrame, keys: list[str], order: str, token: str, targets
     return near.select(*keys, order, F.explode(sides).alias("c")).select(*keys, order, "c.side", "c.phrase")
 
 
+def contexts_in_texts(texts: DataFrame, keys: list[str], words: Column, targets: list[str]) -> DataFrame:
+    """The same for texts given as arrays of words: neighbours are read by index within the row, and
+    only the target words leave it, so nothing is shuffled or sorted."""
+    rows = texts.select(*keys, words.alias("_w"))
+    near = F.transform("_w", lambda w, i: F.struct(i.alias("tok_no"), F.get("_w", i - 1).alias("left"), w.alias("token"), F.get("_w", i + 1).alias("right")))
+    hits = rows.select(*keys, F.explode(F.filter(near, lambda x: F.lower(x["token"]).isin(*targets))).alias("x"))
+    sides = [F.struct(F.lit(side).alias("side"), F.concat_ws(" ", *[F.col(f"x.{c}") for c in cols]).alias("phrase")) for side, cols in (("left", ("left", "token")), ("right", ("token", "right")), ("both", ("left", "token", "right")))]
+    return hits.select(*keys, F.col("x.tok_no").alias("tok_no"), F.explode(F.array(*sides)).alias("c")).select(*keys, "tok_no", "c.side", "c.phrase")
+
+
 def citation(text: Column, at: Column, length: Column, before: int = 24, after: int = 36) -> Column:
     """A window around a place in a text (from 1), cut to whole words at both ends."""
     first = F.greatest(F.lit(1), at - before)

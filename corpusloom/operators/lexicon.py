@@ -160,5 +160,11 @@ def replacement_candidates(texts: DataFrame, rules: DataFrame, key: str, text: s
     """(key, rule_id) where every word of a rule occurs: an equi-join on the rule's anchor, then
     containment. ``rules``: rule_id, tokens, anchor."""
     words = texts.select(key, F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower)).alias("words"))
-    found = with_dimension(words.select(key, "words", F.explode("words").alias("anchor")), rules, "anchor", "inner")
+    anchors = rules.select("anchor").distinct()
+    if anchors.count() <= 10_000:  # only anchors leave a text's array, not each of its words
+        listed = F.array(*[F.lit(r.anchor) for r in anchors.collect()]).cast("array<string>")
+        words = words.select(key, "words", F.explode(F.array_intersect("words", listed)).alias("anchor"))
+    else:
+        words = words.select(key, "words", F.explode("words").alias("anchor"))
+    found = with_dimension(words, rules, "anchor", "inner")
     return found.where(F.forall("tokens", lambda t: F.array_contains(F.col("words"), t))).select(key, "rule_id")

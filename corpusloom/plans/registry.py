@@ -107,7 +107,8 @@ SELECT doc_id, tok_no, side, phrase FROM (
   SELECT doc_id, tok_no, 'both', concat_ws(' ', l, token, r) FROM c)
 """)
 def concordance(spark, sf_dir):
-    return C.contexts(_tokens(spark, sf_dir), ["doc_id"], "tok_no", "token", F.lower("token").isin("with", "nicht", "dans"))
+    words = F.regexp_extract_all("text", F.lit(S.WORD), F.lit(0))
+    return C.contexts_in_texts(_t(spark, sf_dir, "documents"), ["doc_id"], words, ["with", "nicht", "dans"])
 
 
 @query(f"""
@@ -144,7 +145,7 @@ SELECT item_id, count(*) AS words, sum(coalesce(n, 0))::BIGINT AS seen, min(coal
 def dictionary_coverage(spark, sf_dir):
     """Benchmark words looked up in the corpus' word table."""
     w = _t(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(S.WORD), F.lit(0)), F.lower))).alias("word"))
-    t = _tokens(spark, sf_dir).select(F.lower("token").alias("word"), "doc_id").join(F.broadcast(w.select("word").distinct()), "word", "left_semi")
+    t = L.with_dimension(_tokens(spark, sf_dir).select(F.lower("token").alias("word"), "doc_id"), w.select("word").distinct(), "word", "left_semi")
     d = t.groupBy("word", "doc_id").agg(F.count("*").alias("k")).groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
     out = w.join(d, "word", "left").groupBy("item_id")
     return out.agg(F.count("*").alias("words"), F.sum(F.coalesce("n", F.lit(0))).alias("seen"), F.min(F.coalesce("docs", F.lit(0))).alias("rarest"))
