@@ -297,19 +297,21 @@ def bag_jaccard(left, right, n: int) -> np.ndarray:
 
 def components(edges: DataFrame) -> DataFrame:
     """Star contraction: ``edges`` (a, b) to (node, root) for every node of an edge; the root is
-    the component's least node. Neighbours are never gathered, only their minimum is."""
+    the component's least node. Neighbours are never gathered, only their minimum is; nodes with
+    very many of them meet it by a broadcast of those few, not in one task."""
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    mark, total = None, e.count()
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = materialise(large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct())
+        both = e.select(F.col("u").alias("key"), "v").union(e.select(F.col("v").alias("key"), F.col("u").alias("v")))
+        least = both.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("m")).select("key", "n", F.least("key", "m").alias("m"))
+        large = join_counted(both, least, 2 * total).where("v > key").select(F.col("v").alias("key"), F.col("m").alias("v")).where("key <> v").distinct()
+        low = large.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("m"))
+        stars = F.array(F.struct(F.col("key").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        e = materialise(join_counted(large, low, total).select(F.explode(stars).alias("x")).select("x.*").where("u <> v").distinct())
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == mark:
             break
-        mark = now
+        mark, total = now, now["n"]
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
 
 
