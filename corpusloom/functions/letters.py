@@ -123,8 +123,19 @@ def final_stop(text: Column) -> Column:
     return let(t, lambda x: F.struct(F.when(ends, x).otherwise(F.concat(F.regexp_replace(x, r"[,;:—-]+$", ""), F.lit("."))).alias("text"), (~ends).alias("added")))
 
 
-def soft_sign_gender(word: Column, masculine: tuple[str, ...] = ("день", "путь", "огонь", "камень", "корень", "рубль")) -> Column:
-    """Gender of a noun in -ь by its ending, with listed exceptions; null for other words."""
+#: Fixed values of the language: common masculine nouns in -ь that no ending gives away, and
+#: feminine ones with a masculine ending.
+MASCULINE_NOUNS = tuple(
+    "день пень олень тюлень конь огонь камень корень ремень гребень уровень парень ливень перстень ячмень ясень окунь шампунь июнь июль апрель февраль руль король уголь тополь картофель кабель "
+    "отель мотель тоннель портфель щавель профиль стиль автомобиль госпиталь фестиваль вопль контроль пароль алкоголь хмель шмель кисель дождь вождь гвоздь медведь лебедь голубь червь гусь лось карась "
+    "зять тесть гость ноготь локоть коготь лапоть дёготь деготь путь зверь якорь егерь лагерь вихрь царь словарь спектакль бинокль рояль хрусталь миндаль".split()
+)
+FEMININE_NOUNS = tuple("постель артель метель обитель добродетель тварь утварь гарь киноварь псалтырь".split())
+
+
+def soft_sign_gender(word: Column, masculine: tuple[str, ...] = MASCULINE_NOUNS, feminine: tuple[str, ...] = FEMININE_NOUNS) -> Column:
+    """Gender of a noun in -ь: listed nouns first, then masculine endings, else feminine; null for
+    other words. Callers with a dictionary of genders join it and keep this for the rest."""
     low = F.lower(word)
-    male = low.isin(*masculine) | low.rlike("(?:тель|арь|ль|рь)$") & ~low.rlike("(?:ость|модель|печаль|мебель|соль|боль|роль|цель|дверь|тетрадь)$")
+    male = ~low.isin(*feminine) & (low.isin(*masculine) | low.rlike("(?:тель|арь|ырь|брь|бль|вль)$"))
     return F.when(low.rlike("ь$"), F.when(male, "m").otherwise("f"))

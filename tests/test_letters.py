@@ -22,6 +22,11 @@ def test_letters(spark, rule, text, said):
     assert value(spark, rule(F.col("t")), t=text) == said
 
 
+@pytest.mark.parametrize(("word", "gender"), [("олень", "m"), ("конь", "m"), ("словарь", "m"), ("корабль", "m"), ("Декабрь", "m"), ("медаль", "f"), ("метель", "f"), ("модель", "f"), ("дверь", "f"), ("стол", None)])
+def test_soft_sign_gender(spark, word, gender):
+    assert value(spark, X.soft_sign_gender(F.col("t")), t=word) == gender
+
+
 def test_final_stop(spark):
     assert tuple(value(spark, X.final_stop(F.col("t")), t="Да,")) == ("Да.", True)
     assert tuple(value(spark, X.final_stop(F.col("t")), t="Да!")) == ("Да!", False)
