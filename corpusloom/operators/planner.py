@@ -61,7 +61,7 @@ def joined_pauses(pieces: Column, at_mark: int, plain: int) -> Column:
 
         marked = F.transform(s["p"], one)
         kept = F.filter(marked, lambda x: ~x["noise"])
-        timed = F.transform(kept, lambda x, i: _piece(x["text"], F.when(i == F.size(kept) - 1, 0).when(x["mark"], at_mark).otherwise(plain)))
+        timed = let(kept, lambda k: F.transform(k, lambda x, i: _piece(x["text"], F.when(i == F.size(k) - 1, 0).when(x["mark"], at_mark).otherwise(plain))))
         return F.when(F.size(s["p"]) <= 1, F.transform(s["p"], lambda p: _piece(p, F.lit(0)))).otherwise(timed)
 
     return F.coalesce(let(F.struct(pieces.alias("p")), after), _none())
@@ -107,7 +107,7 @@ def plan(text: Column, limit: int = 400, paragraph_ms: int = 400, sentence_ms: i
         parts = F.flatten(F.transform(S.sentence_array(piece["text"], abbreviations), lambda s: _ended(S.bounded_pieces(s, limit), F.lit(sentence_ms))))
         spoken = F.filter(parts, lambda p: ~M.is_noise(p["text"]))
         silent = F.array(_piece(F.lit(""), piece["pause_ms"]))
-        return F.when(F.size(spoken) > 0, _longest(spoken, piece["pause_ms"])).when(piece["pause_ms"] > 0, silent).otherwise(_none())
+        return let(spoken, lambda m: F.when(F.size(m) > 0, _longest(m, piece["pause_ms"])).when(piece["pause_ms"] > 0, silent).otherwise(_none()))
 
     def paragraph(line: Column) -> Column:
         made = F.flatten(F.transform(pause_pieces(line), sentences))
@@ -120,12 +120,12 @@ def plan(text: Column, limit: int = 400, paragraph_ms: int = 400, sentence_ms: i
 
 def _ended(texts: Column, pause: Column) -> Column:
     """Pieces of one sentence: the pause is due after the last."""
-    return F.transform(texts, lambda p, i: _piece(F.trim(p), F.when(i == F.size(texts) - 1, pause).otherwise(0)))
+    return let(texts, lambda t: F.transform(t, lambda p, i: _piece(F.trim(p), F.when(i == F.size(t) - 1, pause).otherwise(0))))
 
 
 def _longest(pieces: Column, pause: Column) -> Column:
     """The pause after the last piece, at least ``pause``."""
-    return F.transform(pieces, lambda p, i: _piece(p["text"], F.when(i == F.size(pieces) - 1, F.greatest(p["pause_ms"], pause)).otherwise(p["pause_ms"])))
+    return let(pieces, lambda t: F.transform(t, lambda p, i: _piece(p["text"], F.when(i == F.size(t) - 1, F.greatest(p["pause_ms"], pause)).otherwise(p["pause_ms"]))))
 
 
 def segments(df: DataFrame, text: str = "text", **options) -> DataFrame:
