@@ -34,7 +34,7 @@ def pause_pieces(text: Column) -> Column:
 
     def cut(s: Column) -> Column:
         pauses = F.transform(s["found"], lambda m: F.regexp_extract(m, PAUSE, 1).cast("int"))
-        parts = F.transform(s["between"], lambda p, i: _piece(F.trim(p), F.coalesce(F.get(pauses, i), F.lit(0))))
+        parts = let(pauses, lambda ms: F.transform(s["between"], lambda p, i: _piece(F.trim(p), F.coalesce(F.get(ms, i), F.lit(0)))))
         # an empty piece between two markers gives its pause to the one before
         return F.aggregate(parts, _none(), lambda done, p: F.when((p["text"] == "") & (F.size(done) > 0), _lengthened(done, p["pause_ms"])).otherwise(F.concat(done, F.array(p))))
 
