@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, quality, ruleclf, sharding, tokencount, tokenout, urlfilter
+from . import bpe, decontam, langid, lexsearch, neardup, quality, resample, ruleclf, sharding, tokencount, tokenout, urlfilter
 from .common import bound_batches, in_learning_part, table
 
 
@@ -82,6 +82,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(), F.col("quality_score").alias("score"), F.col("quality_good").cast("int").alias("predicted"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard": op1_shard,
     "op2_url_filter": op2_url_filter,
@@ -93,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_resample": op11_resample,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _FOUND = r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')"
@@ -160,5 +170,47 @@ sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(id, r) AS (SELECT id, id FROM n UNION SELECT reach.id, sides.b FROM reach JOIN sides ON reach.r = sides.a),
 classes AS (SELECT id, min(r) AS class_id FROM reach GROUP BY id)
 SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM documents LEFT JOIN n USING (text) LEFT JOIN classes USING (id)
+""",
+    "op11_resample": r"""
+WITH w AS (
+  SELECT row_number() OVER () AS k, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+         lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
+f AS (SELECT k, word, count(*) AS c FROM (SELECT k, unnest(ws) AS word FROM w) GROUP BY ALL),
+b AS (
+  SELECT word, count(*) AS t FROM (
+    SELECT translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM benchmark)
+  GROUP BY word),
+own AS (SELECT word, sum(c) AS s FROM f GROUP BY word),
+words AS (SELECT word, coalesce(s, 0)::BIGINT AS s, coalesce(t, 0)::BIGINT AS t, hex(encode(word)) AS x FROM own FULL JOIN b USING (word)),
+hashed AS (
+  SELECT word, s, t, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda c, y: list_reduce(list_prepend(xor(c, y), range(0, 8)), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))) % 10000 AS bucket
+  FROM words),
+sums AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket),
+total AS (SELECT sum(s) AS s, sum(t) AS t FROM sums),
+gains AS (SELECT bucket, floor(1000 * ln((sums.t + 1)::DOUBLE * (total.s + 10000)::DOUBLE / ((sums.s + 1)::DOUBLE * (total.t + 10000)::DOUBLE)))::BIGINT AS gain FROM sums, total),
+weights AS (SELECT k, sum(c)::BIGINT AS n, sum(c * gain)::BIGINT AS weight FROM f JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY k),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN weights USING (k)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 AND doc_id IS NOT NULL ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20 AND doc_id IS NOT NULL) OVER () AS many FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND doc_id IS NOT NULL AND place <= many * 10 // 100 THEN place END AS rank FROM ranked
+""",
+    "op13_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+         lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
+total AS (SELECT count(*)::BIGINT AS n, sum(len(ws))::BIGINT AS l FROM d WHERE len(ws) > 0),
+items AS (SELECT row_number() OVER () AS q, item_id, text FROM benchmark),
+q AS (
+  SELECT DISTINCT q, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM items),
+p AS (SELECT k, term, count(*)::BIGINT AS tf FROM (SELECT k, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), total),
+m AS (SELECT k, doc_id, 10 + ((90 * len(ws)::BIGINT * n) // l) AS m FROM d, total WHERE len(ws) > 0),
+s AS (SELECT q, k, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (k) GROUP BY q, k),
+r AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN m USING (k) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r JOIN items USING (q) WHERE rank <= 10
 """,
 }
