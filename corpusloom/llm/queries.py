@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lexsearch, neardup, quality, resample, ruleclf, sharding, tokencount, tokenout, urlfilter
+from . import bpe, decontam, langid, lexsearch, neardup, quality, resample, ruleclf, sharding, suffixdedup, tokencount, tokenout, urlfilter
 from .common import bound_batches, in_learning_part, table
 
 
@@ -86,6 +86,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_resample": op11_resample,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_ranked_search": op13_ranked_search,
 }
 
