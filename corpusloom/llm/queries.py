@@ -202,6 +202,21 @@ scored AS (
   FROM w LEFT JOIN weights USING (k)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 AND doc_id IS NOT NULL ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20 AND doc_id IS NOT NULL) OVER () AS many FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND doc_id IS NOT NULL AND place <= many * 10 // 100 THEN place END AS rank FROM ranked
+""",
+    "op12_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT k, doc_id, c, substr(x, 2 * c + 1, 610) AS y FROM (SELECT k, doc_id, x, unnest(range(0, length(x) // 2 - 49, 256)) AS c FROM d WHERE doc_id IS NOT NULL AND length(x) >= 100)),
+w AS (SELECT k, doc_id, c + j AS i, substr(y, 2 * j + 1, 100) AS s FROM (SELECT k, doc_id, c, y, unnest(range(0, length(y) // 2 - 49)) AS j FROM p)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+g AS (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM w JOIN f USING (s) WHERE doc_id > least),
+n AS (SELECT k, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS run FROM g),
+spans AS (SELECT k, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY k, run),
+gaps AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS c FROM spans),
+cut AS (
+  SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN d USING (k) GROUP BY k)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (k)
 """,
     "op13_ranked_search": r"""
 WITH d AS (

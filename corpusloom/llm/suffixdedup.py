@@ -4,16 +4,17 @@ A byte goes if a string of ``width`` bytes that covers it also starts in a docum
 doc_id. Sorting all suffixes of the corpus would move every byte about ``width`` times, so the work
 is dealt in three steps, none of which loses a string:
 
-1. Every window of ``width`` bytes has a marker, the smallest hash of the 24-byte strings in it; equal
+1. Every window of ``width`` bytes has a marker, the smallest hash of the 20-byte strings in it; equal
    windows have equal markers. Hashes of markers are grouped, and those that only one document holds
    drop out. Within a batch of documents a marker is sent once, so a passage that a third of all
    documents share sends a row for each batch and not for each document.
 2. Documents take the lists of their markers that others hold too, and cut out the stretches of
    windows with such a marker. Equal stretches of a batch are sent once, for its smallest doc_id; the
    others are larger for certain, and so removed.
-3. Stretches are dealt by marker, so equal windows meet in one shard. A shard's suffixes are sorted by
-   induction with their common prefixes (``inducedsort``), on disk where memory ends; neighbours that
-   share ``width`` symbols are one group, whose smallest doc_id keeps its bytes.
+3. Stretches are dealt by marker, so equal windows meet in one shard. There, too, equal stretches are
+   settled at once, and those whose marker no other stretch has share nothing. Of all others the
+   suffixes are sorted by induction with their common prefixes (``inducedsort``), on disk where memory
+   ends; neighbours that share ``width`` symbols are one group, whose smallest doc_id keeps its bytes.
 
 Of equal texts only the one with the smallest doc_id takes part; the others are removed whole if they
 have ``width`` bytes. What remains is cut from the texts in a last pass, in which only documents with
@@ -28,18 +29,19 @@ gives no rows. Other columns aren't read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, forget, materialise
 from .inducedsort import encode, suffixes
 
-_GRAM = 24
+_GRAM = 20
 _PIECE = 1 << 18  # windows that are hashed at once
 _STRETCH = 128  # windows of a stretch, at most
 _BATCH = 24 << 20  # bytes of texts that are compared within a task
@@ -48,7 +50,8 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _LISTED, _SEVERAL = 2, 1  # in a marker's low bits: already known as shared; sent for several documents
 
 _SENT = pa.schema([("marker", pa.int64()), ("doc_id", pa.int64())])
-_PARTS = pa.schema([("marker", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.list_(pa.int32())), ("size", pa.int32()), ("stretch", pa.binary())])
+_LISTS = pa.schema([("doc_id", pa.int64()), ("markers", pa.binary())])
+_PARTS = pa.schema([("marker", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary()), ("stretch", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _BROADCAST = 48 << 20
@@ -56,7 +59,7 @@ _BROADCAST = 48 << 20
 
 class Markers:
     """Marker hashes of a text's windows: rolling hashes by prefix sums of powers modulo 2**64, then the
-    least of each window. The two lowest bits are free."""
+    least of each window: 46 bits, as different strings with one marker only cost work, and two free ones."""
 
     def __init__(self, width: int):
         self.width, self.gram = width, min(_GRAM, width)
@@ -85,7 +88,7 @@ class Markers:
             step *= 2
         if step < span:
             h = np.minimum(h[: step - span], h[span - step :])
-        return h & np.uint64(0xFFFFFFFFFFFFFFFC)
+        return (h >> np.uint64(18)) << np.uint64(2)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[tuple]]:
@@ -136,33 +139,36 @@ def _mark(width: int):
     return run
 
 
+def _low(marker: np.ndarray) -> np.ndarray:
+    """The 32 bits of a marker by which a document's list holds it."""
+    return ((marker >> np.uint64(2)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a part of the markers, dealt by hash: (marker, doc_id) where several documents hold it."""
-    markers, docs = [], []
+    """Of a part of the markers, dealt by hash: each document's markers that several documents hold."""
+    markers, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for batch in batches:
-        sent, doc = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
-        kind = sent & np.uint64(3)
-        listed = kind == _LISTED
-        if listed.any():
-            yield pa.RecordBatch.from_arrays([pa.array((sent[listed] ^ np.uint64(_LISTED)).view(np.int64)), pa.array(doc[listed])], schema=_SENT)
-        markers.append(sent[~listed])
-        docs.append(doc[~listed])
-    if not markers:
-        return
+        markers.append(np.asarray(batch.column(0)).view(np.uint64))
+        docs.append(np.asarray(batch.column(1)))
     sent, doc = np.concatenate(markers), np.concatenate(docs)
+    if not len(sent):
+        return
     del markers, docs
     order = np.argsort(sent)
     sent, doc = sent[order], doc[order]
-    marker, several = sent & np.uint64(0xFFFFFFFFFFFFFFFC), (sent & np.uint64(_SEVERAL)) > 0
-    begins = np.flatnonzero(np.concatenate(([True], marker[1:] != marker[:-1])))[: len(marker)]
-    if not len(marker):
-        return
+    kind = sent & np.uint64(3)
+    marker = sent ^ kind
+    begins = np.flatnonzero(np.concatenate(([True], marker[1:] != marker[:-1])))
     n = np.diff(np.append(begins, len(marker)))
-    known = np.logical_or.reduceat(several, begins) | (np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins))
-    out = np.repeat(known, n) & ~several  # documents of a marker that stands for several have it listed
-    for a in range(0, len(out), 1 << 20):
-        on = np.flatnonzero(out[a : a + (1 << 20)]) + a
-        yield pa.RecordBatch.from_arrays([pa.array(marker[on].view(np.int64)), pa.array(doc[on])], schema=_SENT)
+    known = np.logical_or.reduceat(kind == _SEVERAL, begins) | (np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins))
+    out = np.flatnonzero((np.repeat(known, n) & (kind == 0)) | (kind == _LISTED))  # of a marker that stands for several, all are listed
+    out = out[np.argsort(doc[out], kind="stable")]
+    low, doc = _low(marker[out]), doc[out]
+    begins = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))[: len(doc)]
+    ends = np.append(begins[1:], len(doc))
+    for a in range(0, len(begins), 1 << 15):
+        lists = [low[x:y].tobytes() for x, y in zip(begins[a : a + (1 << 15)].tolist(), ends[a : a + (1 << 15)].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[begins[a : a + (1 << 15)]]), pa.array(lists, pa.binary())], schema=_LISTS)
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -174,17 +180,20 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.column_stack((spans[begins, 0], reach[np.append(begins[1:], len(spans)) - 1]))
 
 
+def _packed(numbers: list[int]) -> bytes:
+    return np.array(numbers, np.int32).tobytes()
+
+
 def _cut(width: int):
     """(doc_id, key, text, markers) to stretches of a batch, each once, and to the spans of its repeats."""
 
     def stretches(markers: Markers, text: bytes, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(marker, start, end) of runs of windows with one wanted marker."""
         for at, m in markers.pieces(np.frombuffer(text, np.uint8)):
-            on = wanted[np.minimum(np.searchsorted(wanted, m), len(wanted) - 1)] == m
-            first = np.concatenate(([True], m[1:] != m[:-1]))
-            begins = np.flatnonzero(first)
+            begins = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
             ends = np.append(begins[1:], len(m))
-            keep = on[begins]
+            low = _low(m[begins])
+            keep = wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low
             for marker, a, b in zip(m[begins][keep].view(np.int64).tolist(), begins[keep].tolist(), ends[keep].tolist(), strict=True):
                 for c in range(a, b, _STRETCH):
                     yield marker, at + c, at + min(c + _STRETCH, b) + width - 1
@@ -197,7 +206,7 @@ def _cut(width: int):
             repeats: dict[tuple[int, int], list[tuple[int, int]]] = {}
             parts: list[tuple] = []
             for doc_id, key, text, listed in rows:
-                for marker, a, b in stretches(markers, text, np.unique(np.array(listed, np.int64).view(np.uint64))):
+                for marker, a, b in stretches(markers, text, np.unique(np.frombuffer(b"".join(listed), np.uint32))):
                     part = text[a:b]
                     if (known := seen.get(part)) is None:
                         seen[part] = doc_id, key, [a], marker
@@ -206,10 +215,10 @@ def _cut(width: int):
                     elif known[0] < doc_id:
                         repeats.setdefault((doc_id, key), []).append((a, b))
                     else:  # another text with the smallest id: it is judged like the first
-                        parts.append((marker, doc_id, key, [a], 0, part))
-            parts += [(marker, d, k, starts, 0, part) for part, (d, k, starts, marker) in seen.items()]
+                        parts.append((marker, doc_id, key, _packed([a]), part))
+            parts += [(marker, d, k, _packed(starts), part) for part, (d, k, starts, marker) in seen.items()]
             for (d, k), spans in repeats.items():
-                parts += [(0, d, k, [a], b - a, None) for a, b in _merged(np.array(spans, np.int64)).tolist()]
+                parts += [(0, d, k, _packed(span), None) for span in _merged(np.array(spans, np.int64)).tolist()]
             del seen, repeats
             for a in range(0, len(parts), 1 << 15):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*parts[a : a + (1 << 15)], strict=True), _PARTS, strict=True)], schema=_PARTS)
@@ -242,52 +251,72 @@ def groups(pieces: Iterator[tuple[np.ndarray, np.ndarray]], width: int) -> Itera
 def _removed(width: int, memory: int):
     """Stretches of a shard to the spans that go; spans of repeats pass."""
 
+    def settle(batches: Iterator[pa.RecordBatch], out: _Spans) -> dict[bytes, list[tuple]]:
+        """Each different stretch with its occurrences in the smallest document."""
+        own: dict[bytes, list[tuple]] = {}
+        for batch in batches:
+            for marker, doc, key, packed, part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                starts = np.frombuffer(packed, np.int32).tolist()
+                if part is None:
+                    out.add(doc, key, *starts)
+                    continue
+                known = own.get(part)
+                if known is None or doc < known[0][1]:
+                    own[part] = [(marker, doc, key, starts)]
+                    gone = known or ()
+                elif doc == known[0][1]:
+                    known.append((marker, doc, key, starts))
+                    continue
+                else:
+                    gone = [(marker, doc, key, starts)]
+                for _, d, k, at in gone:
+                    for a in at:
+                        out.add(d, k, a, a + len(part))
+        return own
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        doc, key, starts, strings = [], [], [], []
-        for batch in batches:
-            d, k, s, size, part = (batch.column(i) for i in range(1, 6))
-            known = part.is_null()
-            passing = batch.filter(known)
-            if len(passing):
-                first = passing.column(3).flatten()
-                yield pa.RecordBatch.from_arrays([passing.column(1), passing.column(2), first, pc.add(first, passing.column(4))], schema=_SPANS)
-            rest = batch.filter(pc.invert(known))
-            doc.append(np.asarray(rest.column(1)))
-            key.append(np.asarray(rest.column(2)))
-            starts += rest.column(3).to_pylist()
-            strings += rest.column(5).to_pylist()
-        if not strings:
-            return
-        doc, key = np.concatenate(doc), np.concatenate(key)
-        begin = np.cumsum([0, *[len(s) + 1 for s in strings]])[:-1]
-        text = encode(strings)
-        del strings
-        gone = np.zeros(len(text), bool)  # windows, by the place of their first byte
-        for places, first in _grouped(suffixes(text, width, memory), width):
-            of = doc[np.searchsorted(begin, places, "right") - 1]
-            n = np.diff(np.append(first, len(places)))
-            gone[places[of > np.repeat(np.minimum.reduceat(of, first), n)]] = True
-        at = np.flatnonzero(gone)
-        if not len(at):
-            return
-        own = np.searchsorted(begin, at, "right") - 1
-        new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])))
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(at)) - 1
-        out = [[], [], [], []]
-        for i, start, end in zip(own[a].tolist(), at[a].tolist(), at[b].tolist(), strict=True):
-            for s in starts[i]:
-                for column, value in zip(out, (doc[i], key[i], s + start - begin[i], s + end - begin[i] + width), strict=True):
-                    column.append(int(value))
-            if len(out[0]) >= 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SPANS, strict=True)], schema=_SPANS)
-                out = [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SPANS, strict=True)], schema=_SPANS)
+        out = _Spans()
+        own = settle(batches, out)
+        several = Counter(rows[0][0] for rows in own.values())
+        strings = [part for part, rows in own.items() if several[rows[0][0]] > 1]
+        if strings:
+            doc = np.array([own[s][0][1] for s in strings], np.int64)
+            begin = np.cumsum([0, *[len(s) + 1 for s in strings]])[:-1]
+            text = encode(strings)
+            gone = np.zeros(len(text), bool)  # windows, by the place of their first byte
+            for places, first in _grouped(suffixes(text, width, memory), width):
+                of = doc[np.searchsorted(begin, places, "right") - 1]
+                n = np.diff(np.append(first, len(places)))
+                gone[places[of > np.repeat(np.minimum.reduceat(of, first), n)]] = True
+            at = np.flatnonzero(gone)
+            in_ = np.searchsorted(begin, at, "right") - 1
+            a = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (in_[1:] != in_[:-1]))))[: len(at)]
+            b = np.append(a[1:], len(at))[: len(a)] - 1
+            for i, start, end in zip(in_[a].tolist(), (at[a] - begin[in_[a]]).tolist(), (at[b] - begin[in_[b]]).tolist(), strict=True):
+                for _, d, k, starts in own[strings[i]]:
+                    for s in starts:
+                        out.add(d, k, s + start, s + end + width)
+        yield from out.batches()
 
     return run
 
 
+class _Spans:
+    """Spans by document, merged before they leave the task."""
+
+    def __init__(self):
+        self.of: dict[tuple, list[tuple[int, int]]] = {}
+
+    def add(self, doc: int, key: int | None, start: int, end: int) -> None:
+        self.of.setdefault((doc, key), []).append((start, end))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        rows = ((*d, *span) for d, spans in self.of.items() for span in _merged(np.array(spans, np.int64)).tolist())
+        while some := list(islice(rows, 1 << 16)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _SPANS, strict=True)], schema=_SPANS)
+
+
 def _grouped(pieces: Iterator[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Groups in large pieces: places, and where each group begins in them."""
     held: list[np.ndarray] = []
@@ -331,14 +360,15 @@ def _with_keys(docs: DataFrame) -> DataFrame:
 
 
 def removed_spans(rows: DataFrame, owners: DataFrame, parts: int, width: int, memory: int) -> DataFrame:
-    """doc_id, key and spans (start and end in bytes; they may overlap) of every text of ``owners`` that
-    loses bytes."""
+    """doc_id, key and spans (start and end in bytes; they may overlap) of every text of ``owners``
+    (doc_id, key, several: other texts have the id too) that loses bytes; key is null unless ``several``."""
     sent = rows.select("doc_id", "text").mapInArrow(_mark(width), "marker long, doc_id long")
     kind = F.col("marker").bitwiseAND(F.lit(3))
     by_marker = F.when(kind == _LISTED, F.xxhash64("marker", "doc_id")).otherwise(F.shiftright("marker", 2))
-    shared = sent.repartition(parts, by_marker).mapInArrow(_shared, "marker long, doc_id long")
-    lists = shared.groupBy("doc_id").agg(F.collect_list("marker").alias("markers")).join(owners, "doc_id")
-    cut = rows.join(lists, ["doc_id", "key"]).select("doc_id", "key", "text", "markers").mapInArrow(_cut(width), "marker long, doc_id long, key long, starts array<int>, size int, stretch binary")
+    shared = sent.repartition(parts, by_marker).mapInArrow(_shared, "doc_id long, markers binary")
+    lists = shared.groupBy("doc_id").agg(F.collect_list("markers").alias("markers")).join(owners, "doc_id")
+    key = F.when(F.col("several"), F.col("key")).alias("key")
+    cut = rows.join(lists, ["doc_id", "key"]).select("doc_id", key, "text", "markers").mapInArrow(_cut(width), "marker long, doc_id long, key long, starts binary, stretch binary")
     by_stretch = F.when(F.col("stretch").isNull(), F.xxhash64("doc_id", "starts")).otherwise(F.col("marker"))
     spans = cut.repartition(parts, by_stretch).mapInArrow(_removed(width, memory), "doc_id long, key long, start int, end int")
     return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -356,17 +386,20 @@ def remove_repeats(docs: DataFrame, width: int = 50, memory: int = 64 << 20, par
     n_bytes = ids.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // part_bytes))
     texts = materialise(ids.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("key").alias("key")))
-    owners = texts.select("doc_id", "key")
-    several = texts.where("last > doc_id").select("whole", F.col("doc_id").alias("first"))
-    copies = ids.join(several, "whole").where("doc_id > first").select("doc_id", "key").distinct()
+    several = ids.groupBy("doc_id").agg((F.min("key") != F.max("key")).alias("several"))
+    owners = texts.select("doc_id", "key").join(several, "doc_id")
+    copied = texts.where("last > doc_id").select("whole", F.col("doc_id").alias("first"))
+    copies = ids.join(copied, "whole").where("doc_id > first").select("doc_id", "key").distinct()
     spans = removed_spans(long_enough, owners, parts, width, memory)
     touched = materialise(spans.union(copies.withColumn("spans", F.lit(None).cast("array<struct<start: int, end: int>>"))))
     # how much of it would be broadcast is summed, not guessed
     size = touched.agg(F.coalesce(F.sum(F.greatest(F.size("spans"), F.lit(0)) * 16 + 64), F.lit(0))).first()[0]
     side = F.broadcast if size <= _BROADCAST else (lambda df: df)
-    whole = rows.join(side(touched.select("doc_id", "key", F.col("spans").isNotNull().alias("cut"))), ["doc_id", "key"], "left").where("cut is null or not cut")
+    found = touched.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans", F.col("spans").isNotNull().alias("cut"))
+    same = (F.col("doc_id") == F.col("_id")) & (F.octet_length("text") >= width) & (F.col("_key").isNull() | (F.col("_key") == F.col("key")))
+    whole = rows.join(side(found.drop("spans")), same, "left").where("cut is null or not cut")
     n, gone = F.octet_length("text").cast("long"), F.col("cut").isNotNull()
     hash_ = F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.sha2("text", 256))
     native = whole.select("doc_id", n.alias("n_bytes"), F.when(gone, n).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), hash_.alias("kept_sha256"))
-    partly = rows.join(side(touched.where("spans is not null")), ["doc_id", "key"]).select("doc_id", "text", "spans")
+    partly = rows.join(side(found.where("cut")), same).select("doc_id", "text", "spans")
     return native.union(partly.mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
