@@ -29,6 +29,7 @@ gives no rows. Other columns aren't read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -49,20 +50,51 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _LISTED, _SEVERAL = 2, 1  # in a marker's low bits: already known as shared; sent for several documents
 
-_SENT = pa.schema([("marker", pa.int64()), ("doc_id", pa.int64())])
+_SENT = pa.schema([("shard", pa.int64()), ("markers", pa.binary())])
 _LISTS = pa.schema([("doc_id", pa.int64()), ("markers", pa.binary())])
-_PARTS = pa.schema([("marker", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary()), ("stretch", pa.binary())])
+_PARTS = pa.schema([("shard", pa.int64()), ("stretches", pa.binary()), ("spans", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 _BROADCAST = 48 << 20
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of non-negative integers of one length, each in as few bytes a number as its greatest needs,
+    byte by byte (first all lowest bytes)."""
+    out = [len(columns[0]).to_bytes(4, "little")]
+    for column in columns:
+        width = max(1, (int(column.max(initial=0)).bit_length() + 7) // 8)
+        planes = column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+        out += [bytes([width]), planes.tobytes()]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(data[:4], "little"), 4, []
+    while at < len(data):
+        width = data[at]
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 1).reshape(width, n).T
+        out.append(planes.reshape(-1).view("<u8").astype(np.int64))
+        at += 1 + n * width
+    return out
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its rows in their order)."""
+    order = np.argsort(shard, kind="stable")
+    ordered = shard[order]
+    begins = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[: len(shard)]
+    for a, b in zip(begins.tolist(), np.append(begins[1:], len(shard)).tolist(), strict=False):
+        yield int(ordered[a]), order[a:b]
+
+
 class Markers:
     """Marker hashes of a text's windows: rolling hashes by prefix sums of powers modulo 2**64, then the
     least of each window: 46 bits, as different strings with one marker only cost work, and two free ones."""
 
-    def __init__(self, width: int):
-        self.width, self.gram = width, min(_GRAM, width)
+    def __init__(self, width: int, gram: int = _GRAM):
+        self.width, self.gram = width, min(gram, width)
         n = _PIECE + width
         with np.errstate(over="ignore"):
             self.up = np.cumprod(np.full(n, _MULTIPLIER, np.uint64))
@@ -108,8 +140,9 @@ def _batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[tupl
         yield rows
 
 
-def _mark(width: int):
-    """(doc_id, text) to the markers that a batch sends, each with its kind in the low bits."""
+def _mark(width: int, shards: int):
+    """(doc_id, text) to the markers that a batch sends to each shard, in ascending order, with a kind in
+    their low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         markers = Markers(width)
@@ -126,19 +159,34 @@ def _mark(width: int):
             marker, doc = np.concatenate(found), np.concatenate(owner)
             order = np.argsort(marker)
             marker, doc = marker[order], doc[order]
-            first = np.concatenate(([True], marker[1:] != marker[:-1]))
-            begins = np.flatnonzero(first)
+            begins = np.flatnonzero(np.concatenate(([True], marker[1:] != marker[:-1])))
             n = np.diff(np.append(begins, len(marker)))
             mixed = np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins)
             of_several = np.repeat(mixed, n)
-            sent = np.concatenate((marker[begins] | mixed.astype(np.uint64) * np.uint64(_SEVERAL), marker[of_several] | np.uint64(_LISTED)))
-            docs = np.concatenate((doc[begins], doc[of_several]))
-            for a in range(0, len(sent), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(sent[a : a + (1 << 17)].view(np.int64)), pa.array(docs[a : a + (1 << 17)])], schema=_SENT)
+            sent, docs = marker[begins] | mixed.astype(np.uint64) * np.uint64(_SEVERAL), doc[begins]
+            out = [(k, _sealed(sent[at], docs[at])) for k, at in _by_shard((sent >> np.uint64(2)) % np.uint64(shards))]
+            if of_several.any():  # these only pass, so any shard will do
+                out.append((int(sent[0] >> np.uint64(2)) % shards, _sealed(marker[of_several] | np.uint64(_LISTED), doc[of_several])))
+            for a in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[a : a + 256], strict=True), _SENT, strict=True)], schema=_SENT)
 
     return run
 
 
+def _sealed(marker: np.ndarray, doc: np.ndarray) -> bytes:
+    return pack(np.diff(marker, prepend=np.uint64(0)), _unsigned(doc))
+
+
+def _unsigned(doc: np.ndarray) -> np.ndarray:
+    """Zigzag: small numbers of either sign stay small."""
+    return ((doc << 1) ^ (doc >> 63)).view(np.uint64)
+
+
+def _signed(number: np.ndarray) -> np.ndarray:
+    u = number.view(np.uint64)
+    return (u >> np.uint64(1)).astype(np.int64) ^ -(u & np.uint64(1)).astype(np.int64)
+
+
 def _low(marker: np.ndarray) -> np.ndarray:
     """The 32 bits of a marker by which a document's list holds it."""
     return ((marker >> np.uint64(2)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -148,8 +196,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a part of the markers, dealt by hash: each document's markers that several documents hold."""
     markers, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for batch in batches:
-        markers.append(np.asarray(batch.column(0)).view(np.uint64))
-        docs.append(np.asarray(batch.column(1)))
+        for data in batch.column(1).to_pylist():
+            gaps, doc = unpack(data)
+            markers.append(np.cumsum(gaps).view(np.uint64))
+            docs.append(_signed(doc))
     sent, doc = np.concatenate(markers), np.concatenate(docs)
     if not len(sent):
         return
@@ -171,21 +221,43 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[begins[a : a + (1 << 15)]]), pa.array(lists, pa.binary())], schema=_LISTS)
 
 
-def _merged(spans: np.ndarray) -> np.ndarray:
-    """(start, end) rows as the maximal runs that they cover together."""
-    spans = spans[np.argsort(spans[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(spans[:, 1])
-    first = np.concatenate(([True], spans[1:, 0] > reach[:-1]))
-    begins = np.flatnonzero(first)
-    return np.column_stack((spans[begins, 0], reach[np.append(begins[1:], len(spans)) - 1]))
-
-
-def _packed(numbers: list[int]) -> bytes:
-    return np.array(numbers, np.int32).tobytes()
-
-
-def _cut(width: int):
-    """(doc_id, key, text, markers) to stretches of a batch, each once, and to the spans of its repeats."""
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) pairs as the maximal runs that they cover together."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            if end > out[-1][1]:
+                out[-1] = out[-1][0], end
+        else:
+            out.append((start, end))
+    return out
+
+
+def _seal_stretches(parts: list[tuple]) -> bytes:
+    """(marker, doc_id, key, starts, stretch) rows: numbers packed, stretches compressed together."""
+    marker, doc, key, starts, stretch = zip(*parts, strict=True)
+    numbers = pack(
+        np.array(marker, np.uint64), _unsigned(np.array(doc, np.int64)), np.array([0 if k is None else k + 1 for k in key], np.uint64),
+        np.array([len(s) for s in starts], np.uint64), np.array([len(s) for s in stretch], np.uint64),
+    )
+    places = pack(np.array([a for s in starts for a in s], np.uint64))
+    return b"".join([len(numbers).to_bytes(4, "little"), len(places).to_bytes(4, "little"), numbers, places, zlib.compress(b"".join(stretch), 1)])
+
+
+def _open_stretches(data: bytes) -> Iterator[tuple]:
+    a = 8 + int.from_bytes(data[:4], "little")
+    b = a + int.from_bytes(data[4:8], "little")
+    marker, doc, key, n, size = unpack(data[8:a])
+    (places,) = unpack(data[a:b])
+    places, text, p, t = places.tolist(), zlib.decompress(data[b:]), 0, 0
+    for m, d, k, i, j in zip(marker.tolist(), _signed(doc).tolist(), key.tolist(), n.tolist(), size.tolist(), strict=True):
+        yield m, d, k - 1 if k else None, places[p : p + i], text[t : t + j]
+        p, t = p + i, t + j
+
+
+def _cut(width: int, shards: int):
+    """(doc_id, key, text, markers) to a batch's stretches, each once, by shard, and to the spans of its
+    repeats."""
 
     def stretches(markers: Markers, text: bytes, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(marker, start, end) of runs of windows with one wanted marker."""
@@ -215,13 +287,17 @@ def _cut(width: int):
                     elif known[0] < doc_id:
                         repeats.setdefault((doc_id, key), []).append((a, b))
                     else:  # another text with the smallest id: it is judged like the first
-                        parts.append((marker, doc_id, key, _packed([a]), part))
-            parts += [(marker, d, k, _packed(starts), part) for part, (d, k, starts, marker) in seen.items()]
-            for (d, k), spans in repeats.items():
-                parts += [(0, d, k, _packed(span), None) for span in _merged(np.array(spans, np.int64)).tolist()]
+                        parts.append((marker, doc_id, key, [a], part))
+            parts += [(marker, d, k, starts, part) for part, (d, k, starts, marker) in seen.items()]
+            known = [(d, 0 if k is None else k + 1, *span) for (d, k), spans in repeats.items() for span in _merged(spans)]
             del seen, repeats
-            for a in range(0, len(parts), 1 << 15):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*parts[a : a + (1 << 15)], strict=True), _PARTS, strict=True)], schema=_PARTS)
+            if known:  # these only pass, so any shard will do
+                d, k, a, b = (np.array(c, np.int64) for c in zip(*known, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([known[0][2] % shards]), pa.array([None], pa.binary()), pa.array([pack(_unsigned(d), k, a, b)])], schema=_PARTS)
+            if parts:
+                for shard, at in _by_shard((np.array([p[0] for p in parts], np.int64) >> 2) % shards):
+                    sealed = _seal_stretches([parts[i] for i in at.tolist()])
+                    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([sealed]), pa.array([None], pa.binary())], schema=_PARTS)
 
     return run
 
@@ -254,12 +330,14 @@ def _removed(width: int, memory: int):
     def settle(batches: Iterator[pa.RecordBatch], out: _Spans) -> dict[bytes, list[tuple]]:
         """Each different stretch with its occurrences in the smallest document."""
         own: dict[bytes, list[tuple]] = {}
-        for batch in batches:
-            for marker, doc, key, packed, part in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                starts = np.frombuffer(packed, np.int32).tolist()
-                if part is None:
-                    out.add(doc, key, *starts)
-                    continue
+        rows = ((sealed, spans) for batch in batches for sealed, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        for sealed, spans in rows:
+            if spans is not None:
+                doc, *rest = unpack(spans)
+                for d, k, a, b in zip(_signed(doc).tolist(), *[c.tolist() for c in rest], strict=True):
+                    out.add(d, k - 1 if k else None, a, b)
+                continue
+            for marker, doc, key, starts, part in _open_stretches(sealed):
                 known = own.get(part)
                 if known is None or doc < known[0][1]:
                     own[part] = [(marker, doc, key, starts)]
@@ -279,7 +357,7 @@ def _removed(width: int, memory: int):
         out = _Spans()
         own = settle(batches, out)
         several = Counter(rows[0][0] for rows in own.values())
-        strings = [part for part, rows in own.items() if several[rows[0][0]] > 1]
+        strings = _sharing([part for part, rows in own.items() if several[rows[0][0]] > 1], width)
         if strings:
             doc = np.array([own[s][0][1] for s in strings], np.int64)
             begin = np.cumsum([0, *[len(s) + 1 for s in strings]])[:-1]
@@ -302,6 +380,35 @@ def _removed(width: int, memory: int):
     return run
 
 
+def _sharing(strings: list[bytes], width: int) -> list[bytes]:
+    """Those with a window whose hash another of their windows or strings has; the rest share nothing."""
+    if len(strings) < 2:
+        return strings
+    hashes = Markers(width, width)
+    found, owner = [], []
+    some, begins, size = [], [], 0
+    for i, s in enumerate(strings):
+        some.append(s)
+        begins.append(i)
+        size += len(s)
+        if size >= _PIECE or i == len(strings) - 1:
+            lengths = np.array([len(x) for x in some])
+            string = np.repeat(np.array(begins), lengths)
+            left = np.cumsum(lengths)[string - begins[0]] - np.arange(size)  # symbols from here to the string's end
+            whole = np.concatenate([h for _, h in hashes.pieces(np.frombuffer(b"".join(some), np.uint8))])
+            inside = np.flatnonzero(left[: len(whole)] >= width)
+            found.append(whole[inside])
+            owner.append(string[inside])
+            some, begins, size = [], [], 0
+    h, of = np.concatenate(found), np.concatenate(owner)
+    order = np.argsort(h)
+    h = h[order]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[1:] == h[:-1]
+    keep = np.unique(of[order[same[1:] | same[:-1]]])
+    return [strings[i] for i in keep.tolist()]
+
+
 class _Spans:
     """Spans by document, merged before they leave the task."""
 
@@ -312,7 +419,7 @@ class _Spans:
         self.of.setdefault((doc, key), []).append((start, end))
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        rows = ((*d, *span) for d, spans in self.of.items() for span in _merged(np.array(spans, np.int64)).tolist())
+        rows = ((*d, *span) for d, spans in self.of.items() for span in _merged(spans))
         while some := list(islice(rows, 1 << 16)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _SPANS, strict=True)], schema=_SPANS)
 
@@ -338,13 +445,13 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             data = text.as_buffer()
-            cut = _merged(np.column_stack([np.asarray(spans.values.field(i)) for i in range(2)]).astype(np.int64))
+            cut = _merged(list(zip(*[spans.values.field(i).to_pylist() for i in range(2)], strict=True)))
             rest, at = hashlib.sha256(), 0
-            for a, b in cut.tolist():
+            for a, b in cut:
                 rest.update(data[at:a])
                 at = b
             rest.update(data[at : data.size])
-            rows.append((doc_id, data.size, int((cut[:, 1] - cut[:, 0]).sum()), len(cut), rest.hexdigest()))
+            rows.append((doc_id, data.size, sum(b - a for a, b in cut), len(cut), rest.hexdigest()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _KEPT, strict=True)], schema=_KEPT)
 
@@ -360,18 +467,24 @@ def _with_keys(docs: DataFrame) -> DataFrame:
 
 
 def removed_spans(rows: DataFrame, owners: DataFrame, parts: int, width: int, memory: int) -> DataFrame:
-    """doc_id, key and spans (start and end in bytes; they may overlap) of every text of ``owners``
+    """doc_id, key and spans (start and end in bytes, maximal) of every text of ``owners``
     (doc_id, key, several: other texts have the id too) that loses bytes; key is null unless ``several``."""
-    sent = rows.select("doc_id", "text").mapInArrow(_mark(width), "marker long, doc_id long")
-    kind = F.col("marker").bitwiseAND(F.lit(3))
-    by_marker = F.when(kind == _LISTED, F.xxhash64("marker", "doc_id")).otherwise(F.shiftright("marker", 2))
-    shared = sent.repartition(parts, by_marker).mapInArrow(_shared, "doc_id long, markers binary")
+    shards = 4 * parts
+    sent = rows.select("doc_id", "text").mapInArrow(_mark(width, shards), "shard long, markers binary")
+    shared = sent.repartition(parts, "shard").mapInArrow(_shared, "doc_id long, markers binary")
     lists = shared.groupBy("doc_id").agg(F.collect_list("markers").alias("markers")).join(owners, "doc_id")
     key = F.when(F.col("several"), F.col("key")).alias("key")
-    cut = rows.join(lists, ["doc_id", "key"]).select("doc_id", key, "text", "markers").mapInArrow(_cut(width), "marker long, doc_id long, key long, starts binary, stretch binary")
-    by_stretch = F.when(F.col("stretch").isNull(), F.xxhash64("doc_id", "starts")).otherwise(F.col("marker"))
-    spans = cut.repartition(parts, by_stretch).mapInArrow(_removed(width, memory), "doc_id long, key long, start int, end int")
-    return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cut = rows.join(lists, ["doc_id", "key"]).select("doc_id", key, "text", "markers").mapInArrow(_cut(width, shards), "shard long, stretches binary, spans binary")
+    spans = cut.repartition(parts, "shard").mapInArrow(_removed(width, memory), "doc_id long, key long, start int, end int")
+    grouped = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return grouped.mapInArrow(_join_spans, grouped.schema)
+
+
+def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's spans as maximal runs."""
+    for batch in batches:
+        spans = [[{"start": a, "end": b} for a, b in _merged([(x["start"], x["end"]) for x in one])] for one in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, batch.schema.field(2).type)], schema=batch.schema)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, memory: int = 64 << 20, part_bytes: int = 24 << 20) -> DataFrame:

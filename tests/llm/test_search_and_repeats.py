@@ -236,11 +236,20 @@ def test_shares_of_hot_passages_stay_small():
     text = "a passage of more than fifty bytes that every single document holds, word by word"
     ids = list(range(500))
     batch = pa.record_batch([pa.array(ids), pa.array([(f"{i} " * 20 + text).encode() for i in ids])], names=["doc_id", "text"])
-    sent = np.concatenate([np.asarray(b.column(0)).view(np.uint64) for b in suffixdedup._mark(50)(iter([batch]))])
-    several = sent[(sent & np.uint64(3)) == 1]
+    sent = [suffixdedup.unpack(data)[0] for b in suffixdedup._mark(50, 8)(iter([batch])) for data in b.column(1).to_pylist()]
+    sent = np.concatenate([np.cumsum(gaps) for gaps in sent])
+    several = sent[(sent & 3) == 1]
     assert len(several) and len(np.unique(several)) == len(several)
 
 
+def test_packed_columns_return():
+    columns = [np.array([0, 5, 1 << 45]), np.array([0, 0, 0]), suffixdedup._unsigned(np.array([-3, 7, -(1 << 62)])).view(np.int64)]
+    got = suffixdedup.unpack(suffixdedup.pack(*columns))
+    assert [c.tolist() for c in got] == [c.tolist() for c in columns] and suffixdedup._signed(got[2]).tolist() == [-3, 7, -(1 << 62)]
+    rows = [(8, -4, None, [1, 2], b"abc"), (12, 9, 0, [0], b"")]
+    assert list(suffixdedup._open_stretches(suffixdedup._seal_stretches(rows))) == rows
+
+
 def test_queries_have_the_contracts_columns(spark):
     assert queries.op11_resample(spark).dtypes == [("doc_id", "bigint"), ("n_features", "bigint"), ("weight", "bigint"), ("score", "bigint"), ("rank", "bigint")]
     assert queries.op12_suffix_dedup(spark).dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
