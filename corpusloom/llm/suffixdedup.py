@@ -51,7 +51,7 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _LISTED, _SEVERAL = 2, 1  # in a marker's low bits: already known as shared; sent for several documents
 
 _SENT = pa.schema([("shard", pa.int64()), ("markers", pa.binary())])
-_LISTS = pa.schema([("doc_id", pa.int64()), ("markers", pa.binary())])
+_LISTS = pa.schema([("doc_id", pa.int64()), ("marker", pa.int32())])
 _PARTS = pa.schema([("shard", pa.int64()), ("stretches", pa.binary()), ("spans", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -212,13 +212,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.diff(np.append(begins, len(marker)))
     known = np.logical_or.reduceat(kind == _SEVERAL, begins) | (np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins))
     out = np.flatnonzero((np.repeat(known, n) & (kind == 0)) | (kind == _LISTED))  # of a marker that stands for several, all are listed
-    out = out[np.argsort(doc[out], kind="stable")]
-    low, doc = _low(marker[out]), doc[out]
-    begins = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))[: len(doc)]
-    ends = np.append(begins[1:], len(doc))
-    for a in range(0, len(begins), 1 << 15):
-        lists = [low[x:y].tobytes() for x, y in zip(begins[a : a + (1 << 15)].tolist(), ends[a : a + (1 << 15)].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[begins[a : a + (1 << 15)]]), pa.array(lists, pa.binary())], schema=_LISTS)
+    low, doc = _low(marker[out]).view(np.int32), doc[out]
+    for a in range(0, len(out), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + (1 << 17)]), pa.array(low[a : a + (1 << 17)])], schema=_LISTS)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -278,7 +274,7 @@ def _cut(width: int, shards: int):
             repeats: dict[tuple[int, int], list[tuple[int, int]]] = {}
             parts: list[tuple] = []
             for doc_id, key, text, listed in rows:
-                for marker, a, b in stretches(markers, text, np.unique(np.frombuffer(b"".join(listed), np.uint32))):
+                for marker, a, b in stretches(markers, text, np.unique(np.array(listed, np.int32).view(np.uint32))):
                     part = text[a:b]
                     if (known := seen.get(part)) is None:
                         seen[part] = doc_id, key, [a], marker
@@ -471,8 +467,8 @@ def removed_spans(rows: DataFrame, owners: DataFrame, parts: int, width: int, me
     (doc_id, key, several: other texts have the id too) that loses bytes; key is null unless ``several``."""
     shards = 4 * parts
     sent = rows.select("doc_id", "text").mapInArrow(_mark(width, shards), "shard long, markers binary")
-    shared = sent.repartition(parts, "shard").mapInArrow(_shared, "doc_id long, markers binary")
-    lists = shared.groupBy("doc_id").agg(F.collect_list("markers").alias("markers")).join(owners, "doc_id")
+    shared = sent.repartition(parts, "shard").mapInArrow(_shared, "doc_id long, marker int")
+    lists = shared.groupBy("doc_id").agg(F.collect_list("marker").alias("markers")).join(owners, "doc_id")
     key = F.when(F.col("several"), F.col("key")).alias("key")
     cut = rows.join(lists, ["doc_id", "key"]).select("doc_id", key, "text", "markers").mapInArrow(_cut(width, shards), "shard long, stretches binary, spans binary")
     spans = cut.repartition(parts, "shard").mapInArrow(_removed(width, memory), "doc_id long, key long, start int, end int")
