@@ -1,24 +1,29 @@
 """Dictionary look-ups and the replacement engine.
 
-Look-ups join exploded tokens with dimension tables. A dimension is broadcast only after its rows
-are counted; a larger one is joined by shuffle. Rules are a hand-kept list and are compiled once.
+Look-ups join exploded tokens with dimension tables. A dimension is broadcast only after its bytes
+are summed; a larger one is joined by shuffle. Rules are a hand-kept list and are compiled once: each is
+filed under a literal piece that every match of it must hold, so a text meets only rules whose piece it
+has, wildcards and regular expressions included.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import cache, cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BROADCAST_ROWS = 500_000
+_BROADCAST_BYTES = 48 << 20
 
 
 def with_dimension(rows: DataFrame, dimension: DataFrame, on: str, how: str = "left") -> DataFrame:
-    side = F.broadcast(dimension) if dimension.count() <= _BROADCAST_ROWS else dimension
-    return rows.join(side, on, how)
+    """Joins a table that is broadcast if its values, written out, take at most ``_BROADCAST_BYTES``."""
+    size = dimension.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(dimension) if size <= _BROADCAST_BYTES else dimension, on, how)
 
 
 def folded(word: Column) -> Column:
@@ -60,12 +65,30 @@ def stress(words: DataFrame, dictionary: DataFrame, predictions: DataFrame, vowe
 
 @dataclass(frozen=True)
 class Replacement:
-    """A compiled rule: the words that must all occur, and what to do."""
+    """A compiled rule: its pattern and value, the words that must all occur, and the literal pieces of
+    which every match holds each (folded)."""
 
     key: str
     value: str
-    pattern: re.Pattern
+    source: str
+    flags: int
     words: frozenset[str]
+    pieces: tuple[str, ...]
+
+    @cached_property
+    def pattern(self) -> re.Pattern:
+        return re.compile(self.source, self.flags)
+
+
+@dataclass(frozen=True)
+class RuleProblem:
+    """Why a line (from 1) gives no rule: ``separator`` (it has none, or no key), ``pattern`` (it doesn't
+    compile), ``group`` (the value names one that the pattern lacks), ``dollar`` (a lone one), ``backslash``
+    (one at the end)."""
+
+    line: int
+    kind: str
+    text: str
 
 
 _WORD = re.compile(r"\w+", re.UNICODE)
@@ -84,63 +107,169 @@ def parse_rule(line: str) -> tuple[str, str] | None:
     return (key.replace("##", "#"), value.replace("##", "#")) if key else None
 
 
-def compile_rules(lines: list[str]) -> list[Replacement]:
+@cache
+def _alike() -> dict[int, str]:
+    """Characters that a pattern without regard to case takes for others than their lower case."""
+    out = {}
+    for code in range(0x80, 0x1_0000):
+        c = chr(code)
+        folded = c.upper().lower() if len(c.upper()) == 1 else c.lower()
+        if folded[0] != c.lower() or len(folded) > 1:
+            out[code] = folded[0]
+    return out
+
+
+def fold_case(text: str) -> str:
+    """Equal for texts that differ in case only, character for character."""
+    return text.translate(_alike()).lower() if not text.isascii() else text.lower()
+
+
+def required_pieces(source: str, flags: int) -> tuple[str, ...]:
+    """Folded literal runs that every match of the pattern holds, from its parse: what is optional, one of
+    several or a class ends a run; look-around has no part in it."""
+    out: list[str] = []
+    run: list[str] = []
+
+    def end() -> None:
+        if run:
+            out.append(fold_case("".join(run)))
+            run.clear()
+
+    def walk(parsed) -> None:
+        for op, value in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                run.append(chr(value))
+            elif name == "SUBPATTERN":
+                walk(value[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                end()
+                if value[0] >= 1:
+                    walk(value[2])
+                    end()
+            elif name == "ATOMIC_GROUP":
+                walk(value)
+            elif name not in ("ASSERT", "ASSERT_NOT", "AT"):
+                end()
+
+    walk(re._parser.parse(source, flags))
+    end()
+    return tuple(dict.fromkeys(out))
+
+
+def _value_problem(value: str, groups: int) -> str | None:
+    i = 0
+    while i < len(value):
+        if value[i] == "\\":
+            if i + 1 == len(value):
+                return "backslash"
+            i += 1
+        elif value[i] == "$":
+            if not value[i + 1 : i + 2].isdigit():
+                return "dollar"
+            if int(value[i + 1]) > groups:
+                return "group"
+        i += 1
+    return None
+
+
+def _regex_rule(key: str, value: str) -> tuple[Replacement | None, str | None]:
+    """The rule of a ``~`` key, or what is wrong with it."""
+    flags = re.UNICODE | re.IGNORECASE
+    try:
+        groups = re.compile(key[1:], flags).groups
+        pieces = required_pieces(key[1:], flags)
+    except (re.error, RecursionError):
+        return None, "pattern"
+    if (problem := _value_problem(value, groups)) is not None:
+        return None, problem
+    made = re.sub(r"\\(.)|\$(\d)", lambda m: rf"\g<{m[2]}>" if m[2] else m[1].replace("\\", r"\\"), value)
+    return Replacement(key, made, key[1:], flags, frozenset(), pieces), None
+
+
+def _plain_rule(key: str, value: str) -> Replacement:
+    """The rule of a literal or wildcard key; ``$`` in front heeds case."""
+    body, flags = key.lstrip("$"), re.UNICODE if key[0] == "$" else re.UNICODE | re.IGNORECASE
+    parts = body.split("*")
+    source = r"([\w-]*)".join(re.escape(p).replace(",", r",\s*") for p in parts)
+    left, right = r"(?<!\w)" if re.match(r"\w", body) else "", r"(?!\w)" if re.search(r"\w$", body) else ""
+    words = frozenset(w.lower() for w in _WORD.findall(re.sub(r"\w*\*\w*", " ", body)))
+    pieces = tuple(dict.fromkeys(fold_case(q.strip()) for p in parts for q in re.split(r"(?<=,)", p) if q.strip()))
+    value = value.replace("\\", "\\\\")
+    for n in range(body.count("*")):
+        value = value.replace("*", rf"\g<{n + 1}>", 1)
+    return Replacement(key, value, left + source + right, flags, words, pieces)
+
+
+def compile_rules(lines: list[str], problems: list[RuleProblem] | None = None) -> list[Replacement]:
     """Of equal keys the last one counts; longer keys come first. Kinds: ``~regex``, ``$case``
-    sensitive, ``*`` wildcard, literal (whole words where the key begins or ends with one)."""
-    last: dict[str, str] = {}
-    for line in lines:
+    sensitive, ``*`` wildcard, literal (whole words where the key begins or ends with one). Lines that
+    give no rule are left out; ``problems`` takes them, with the reason."""
+    last: dict[str, tuple[int, str]] = {}
+    for number, line in enumerate(lines, 1):
         if (pair := parse_rule(line)) is not None:
             key = pair[0] if pair[0][0] in "~$" else pair[0].lower()
             last.pop(key, None)
-            last[key] = pair[1]
+            last[key] = number, pair[1]
+        elif problems is not None and line.strip() and (line.strip()[0] != "#" or line.strip().startswith("##")):
+            problems.append(RuleProblem(number, "separator", line.strip()))
     out = []
-    for key, value in last.items():
-        body, flags = key.lstrip("~$"), re.UNICODE if key[0] == "$" else re.UNICODE | re.IGNORECASE
+    for key, (number, value) in last.items():
         if key[0] == "~":
-            try:
-                pattern = re.compile(body, flags)
-            except re.error:
+            rule, problem = _regex_rule(key, value)
+            if rule is None:
+                if problems is not None:
+                    problems.append(RuleProblem(number, problem, key))
                 continue
-            words: frozenset[str] = frozenset()
         else:
-            parts = [re.escape(p).replace(",", r",\s*") for p in body.split("*")]
-            source = r"([\w-]*)".join(parts)
-            left, right = r"(?<!\w)" if re.match(r"\w", body) else "", r"(?!\w)" if re.search(r"\w$", body) else ""
-            pattern = re.compile(left + source + right, flags)
-            words = frozenset(w.lower() for w in _WORD.findall(re.sub(r"\w*\*\w*", " ", body)))
-            value = value.replace("\\", "\\\\")
-            for n in range(body.count("*")):
-                value = value.replace("*", rf"\g<{n + 1}>", 1)
-        if key[0] == "~":
-            value = re.sub(r"\$(\d)", r"\\g<\1>", value)
-        out.append(Replacement(key, value, pattern, words))
+            rule = _plain_rule(key, value)
+        out.append(rule)
     return sorted(out, key=lambda r: -len(r.key))
 
 
 class RuleIndex:
-    """Rules under their rarest word, so that a text meets only rules whose words it may hold."""
+    """Rules under a literal piece of theirs: its rarest run of three characters (or the whole piece, if
+    shorter). A text is looked through once for the runs that rules are filed under; when a rule has
+    changed it, again, as later rules see what earlier ones made."""
 
     def __init__(self, rules: list[Replacement]):
-        use: dict[str, int] = {}
+        self.rules = rules
+        use: Counter[str] = Counter()
         for r in rules:
-            for w in r.words:
-                use[w] = use.get(w, 0) + 1
-        self.always = [i for i, r in enumerate(rules) if not r.words]
-        self.by_word: dict[str, list[int]] = {}
+            use.update({g for p in r.pieces for g in self._runs(p)})
+        self.always: list[int] = []
+        self.filed: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
-            if r.words:
-                self.by_word.setdefault(min(r.words, key=lambda w: (use[w], -len(w), w)), []).append(i)
-        self.rules = rules
+            if not r.pieces:
+                self.always.append(i)
+                continue
+            best = min((g for p in r.pieces for g in self._runs(p)), key=lambda g: (-len(g), use[g], g))
+            self.filed.setdefault(best, []).append(i)
+        self.sizes = sorted({len(g) for g in self.filed})
+
+    @staticmethod
+    def _runs(piece: str) -> list[str]:
+        return [piece[i : i + 3] for i in range(max(1, len(piece) - 2))]
+
+    def candidates(self, folded: str, after: int = -1) -> list[int]:
+        """Numbers above ``after`` of the rules whose pieces the folded text holds, in order."""
+        found = {i for i in self.always if i > after}
+        for size in self.sizes:
+            for run in {folded[i : i + size] for i in range(len(folded) - size + 1)} & self.filed.keys():
+                found.update(i for i in self.filed[run] if i > after and all(p in folded for p in self.rules[i].pieces))
+        return sorted(found)
 
     def apply(self, text: str) -> str:
-        words = {w.lower() for w in _WORD.findall(text)}
-        hits = sorted({*self.always, *[i for w in words for i in self.by_word.get(w, ())]})
-        for i in hits:
-            if self.rules[i].words <= words:
-                try:
-                    text = self.rules[i].pattern.sub(self.rules[i].value, text)
-                except (re.error, IndexError):
-                    continue
+        words = {w.lower() for w in _WORD.findall(text)}  # of the text as given: words that rules make anchor none
+        waiting = self.candidates(fold_case(text))
+        at = 0
+        while at < len(waiting):
+            rule = self.rules[i := waiting[at]]
+            at += 1
+            if rule.words <= words:
+                made = rule.pattern.sub(rule.value, text)
+                if made != text:
+                    text, waiting, at = made, self.candidates(fold_case(made), i), 0
         return re.sub(r" {2,}", " ", text).strip()
 
 
