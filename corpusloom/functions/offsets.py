@@ -5,7 +5,7 @@ text on, up to the next piece, characters come from place ``src`` of the source
 for the one place ``src`` (inserted). The last piece begins at the text's end and gives the source's end.
 Rewriting a tracked text composes the maps, so the pieces always lead to the first source, through however
 many rules. A rule's matches are found one after another, so the rules run in one Arrow-batched function;
-looking places up is native.
+looking places up is native, on a tracked text that has a column of its own.
 
 A null text stays null. Places count characters (code points) from 0.
 """

@@ -198,7 +198,8 @@ RUSSIAN = [
     "-1 word с, -2 word размером|высотой|ростом|длиной|шириной|толщиной|весом -> p",
     "-1 word без|близ|вдоль|возле|вокруг|для|до|из|из-за|из-под|кроме|мимо|около|от|после|против|ради|среди|у -> g n",
     "-1 word много|мало|немного|сколько|столько|несколько -> g",
-    "-1 starts косн|каса|прикосн, -2 !starts котор -> g",
+    "-1 starts косн|каса|прикосн, -2 starts котор -> -",
+    "-1 starts косн|каса|прикосн -> g",
     "-1 word в|во|на|при, 0 has l, -2 starts брос|попа|сун|вбе|вле|кинул|толкн -> g",
     "-1 word в|во|на|при, 0 has l -> l",
     "-1 word в|во, 0 has g, 0 !has p -> -",

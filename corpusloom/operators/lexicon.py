@@ -228,48 +228,51 @@ def compile_rules(lines: list[str], problems: list[RuleProblem] | None = None) -
 
 
 class RuleIndex:
-    """Rules under a literal piece of theirs: its rarest run of three characters (or the whole piece, if
-    shorter). A text is looked through once for the runs that rules are filed under; when a rule has
-    changed it, again, as later rules see what earlier ones made."""
+    """Rules with whole words are filed under their rarest word, the others under the rarest run of three
+    characters of their literal pieces (or a shorter piece). The words of the text as given decide on the
+    former; runs are looked up again whenever a rule has changed the text, as later rules see what earlier
+    ones made. A rule's pattern is compiled when a text first holds all its pieces."""
 
     def __init__(self, rules: list[Replacement]):
         self.rules = rules
-        use: Counter[str] = Counter()
-        for r in rules:
-            use.update({g for p in r.pieces for g in self._runs(p)})
+        word_use: Counter[str] = Counter(w for r in rules for w in r.words)
+        run_use: Counter[str] = Counter(g for r in rules if not r.words for g in {g for p in r.pieces for g in self._runs(p)})
         self.always: list[int] = []
-        self.filed: dict[str, list[int]] = {}
+        self.by_word: dict[str, list[int]] = {}
+        self.by_run: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
-            if not r.pieces:
+            if r.words:
+                self.by_word.setdefault(min(r.words, key=lambda w: (word_use[w], -len(w), w)), []).append(i)
+            elif r.pieces:
+                self.by_run.setdefault(min((g for p in r.pieces for g in self._runs(p)), key=lambda g: (-len(g), run_use[g], g)), []).append(i)
+            else:
                 self.always.append(i)
-                continue
-            best = min((g for p in r.pieces for g in self._runs(p)), key=lambda g: (-len(g), use[g], g))
-            self.filed.setdefault(best, []).append(i)
-        self.sizes = sorted({len(g) for g in self.filed})
+        self.sizes = sorted({len(g) for g in self.by_run})
 
     @staticmethod
     def _runs(piece: str) -> list[str]:
         return [piece[i : i + 3] for i in range(max(1, len(piece) - 2))]
 
-    def candidates(self, folded: str, after: int = -1) -> list[int]:
-        """Numbers above ``after`` of the rules whose pieces the folded text holds, in order."""
-        found = {i for i in self.always if i > after}
-        for size in self.sizes:
-            for run in {folded[i : i + size] for i in range(len(folded) - size + 1)} & self.filed.keys():
-                found.update(i for i in self.filed[run] if i > after and all(p in folded for p in self.rules[i].pieces))
-        return sorted(found)
+    def _by_runs(self, folded: str, after: int) -> list[int]:
+        found = {i for size in self.sizes for run in {folded[i : i + size] for i in range(len(folded) - size + 1)} & self.by_run.keys() for i in self.by_run[run]}
+        return sorted(i for i in found.union(self.always) if i > after)
 
     def apply(self, text: str) -> str:
-        words = {w.lower() for w in _WORD.findall(text)}  # of the text as given: words that rules make anchor none
-        waiting = self.candidates(fold_case(text))
-        at = 0
-        while at < len(waiting):
-            rule = self.rules[i := waiting[at]]
-            at += 1
-            if rule.words <= words:
+        words = {w.lower() for w in _WORD.findall(text)}
+        by_word = sorted(i for w in words for i in self.by_word.get(w, ()) if self.rules[i].words <= words)
+        folded = fold_case(text)
+        by_run, w, g, end = self._by_runs(folded, -1), 0, 0, len(self.rules)
+        while (i := min(by_word[w] if w < len(by_word) else end, by_run[g] if g < len(by_run) else end)) < end:
+            if w < len(by_word) and by_word[w] == i:
+                w += 1
+            else:
+                g += 1
+            rule = self.rules[i]
+            if all(p in folded for p in rule.pieces):
                 made = rule.pattern.sub(rule.value, text)
                 if made != text:
-                    text, waiting, at = made, self.candidates(fold_case(made), i), 0
+                    text, folded = made, fold_case(made)
+                    by_run, g = self._by_runs(folded, i), 0
         return re.sub(r" {2,}", " ", text).strip()
 
 
