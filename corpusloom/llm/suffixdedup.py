@@ -483,7 +483,7 @@ def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, batch.schema.field(2).type)], schema=batch.schema)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, memory: int = 64 << 20, part_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, memory: int = 64 << 20, part_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 (hex, of the remaining
     bytes) of every row of ``docs`` (doc_id, text). ``memory``: bytes of a shard's queues before they
     go to disk. ``part_bytes``: bytes of texts for each shard."""
