@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bound_batches, held, materialise
+from .common import bound_batches, free_name, held, materialise
 
 UNKNOWN = "und"
 _PAD = 2  # a character that no word holds
@@ -338,7 +338,8 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
 
 
 def identify(docs: DataFrame, learn_from: DataFrame, settings: Settings = Settings(), model: Model | None = None) -> DataFrame:
-    """``docs`` with one more struct column ``language``."""
+    """``docs`` with one more struct column, ``free_name(docs, "language")``: with an underscore behind it
+    where ``docs`` has such a column."""
     bound_batches(docs.sparkSession)
     model = model or learn(learn_from, settings)
-    return docs.withColumn("language", prediction(F.col("text"), _Shared(docs.sparkSession, model)))
+    return docs.withColumn(free_name(docs, "language"), prediction(F.col("text"), _Shared(docs.sparkSession, model)))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bound_batches, forget, materialise, small
+from .common import bound_batches, forget, free_name, materialise, small
 
 
 @dataclass(frozen=True)
@@ -238,7 +238,8 @@ def verdict(text: Column, refs: References, rules: Rules) -> Column:
 
 
 def judge_documents(docs: DataFrame, rules: Rules = Rules(), refs: References | None = None) -> DataFrame:
-    """``docs`` with one more column ``quality_verdict``; references are learned where not given."""
+    """``docs`` with one more column, ``free_name(docs, "quality_verdict")``; references are learned where
+    not given."""
     bound_batches(docs.sparkSession)
     refs = refs or learn_references(docs, rules)
-    return docs.withColumn("quality_verdict", verdict(F.col("text"), refs, rules))
+    return docs.withColumn(free_name(docs, "quality_verdict"), verdict(F.col("text"), refs, rules))

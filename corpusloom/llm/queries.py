@@ -13,7 +13,8 @@ from .common import bound_batches, in_learning_part, table
 
 
 def _held_out() -> Column:
-    return (~in_learning_part(F.col("doc_id"))).alias("held_out")
+    """A row without an id isn't learned from, and isn't of the held-out part."""
+    return F.coalesce(~in_learning_part(F.col("doc_id")), F.lit(False)).alias("held_out")
 
 
 #: The fixed rules of the URL query.

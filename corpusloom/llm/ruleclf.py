@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bound_batches, forget, in_learning_part, materialise, small
+from .common import bound_batches, forget, free_name, in_learning_part, materialise, small
 
 STATISTICS = (
     "n_words",
@@ -159,9 +159,11 @@ def _own_labels(labels: DataFrame) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all of them by default) with ``quality_score`` and
-    ``quality_good`` (the score is at least the threshold)."""
+    ``quality_good`` (the score is at least the threshold), each with an underscore behind it where one of
+    ``keep`` has its name."""
     bound_batches(docs.sparkSession)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("quality_score", "quality_good")]
+    keep = docs.columns if keep is None else keep
+    score, good = (free_name(docs.select(*keep), c) for c in ("quality_score", "quality_good"))
     stats, id_ = statistics(F.col("text")).alias("stats"), F.col("doc_id").alias("doc_id")
     row = F.struct(*keep).alias("row")  # in a struct of their own, columns can't clash with ours
     if "text" in keep:
@@ -174,5 +176,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     else:
         rated = materialise(docs.select(row, id_, stats))
         learned = learn(rated, labels, settings)
-    out = rated.select(*[F.col("row")[c].alias(c) for c in keep], learned.score("stats").alias("quality_score"))
-    return out.withColumn("quality_good", F.col("quality_score") >= settings.threshold)
+    out = rated.select(*[F.col("row")[c].alias(c) for c in keep], learned.score("stats").alias(score))
+    return out.withColumn(good, F.col(score) >= settings.threshold)

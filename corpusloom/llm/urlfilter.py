@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import free_name, held
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,7 +109,7 @@ class Trie:
 
 def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max_rules: int = 1_000_000) -> DataFrame:
     """``pages`` with host, path, rule (null where none fits) and verdict of the column ``url``,
-    in a struct column ``url_verdict``."""
+    in a struct column, ``free_name(pages, "url_verdict")``."""
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; at most {max_rules} are broadcast")
     shared, name = pages.sparkSession.sparkContext.broadcast(list(rules)), uuid.uuid4().hex
@@ -122,8 +122,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max_
             [pa.array([r and r.name for r in found], pa.string()), pa.array([r.verdict if r else default for r in found], pa.string())], names=["rule", "verdict"]
         )
 
-    url, kept = F.col("url"), [c for c in pages.columns if c != "url_verdict"]
+    url, kept = F.col("url"), pages.columns
     # in a struct of their own, the columns of `pages` can't clash with ours
     split = pages.select(F.struct(*kept).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
     judged = split.select("*", judge(F.col("host"), F.col("path")).alias("found"))
-    return judged.select(*[F.col("row")[c].alias(c) for c in kept], F.struct("host", "path", "found.rule", "found.verdict").alias("url_verdict"))
+    return judged.select(*[F.col("row")[c].alias(c) for c in kept], F.struct("host", "path", "found.rule", "found.verdict").alias(free_name(pages, "url_verdict")))
