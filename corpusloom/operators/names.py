@@ -100,6 +100,7 @@ RUSSIAN = [
     ("ский", "surname", 1, 1), ("ского", "surname", 1, 2 | 8), ("скому", "surname", 1, 4), ("ским", "surname", 1, 16), ("ском", "surname", 1, 32), ("ская", "surname", 2, 1), ("скую", "surname", 2, 8), ("ской", "surname", 2, 2 | 4 | 16 | 32),
     ("ия", "first", 2, 1), ("ии", "first", 2, 2 | 4 | 32), ("ию", "first", 2, 8), ("ией", "first", 2, 16), ("ий", "first", 1, 1), ("ей", "first", 1, 1), ("ея", "first", 1, 2 | 8), ("ею", "first", 1, 4), ("еем", "first", 1, 16),
     ("ай", "first", 1, 1), ("ая", "first", 1, 2 | 8), ("аю", "first", 1, 4), ("аем", "first", 1, 16), ("ае", "first", 1, 32),
+    ("ерина", "first", 2, 1), ("ерины", "first", 2, 2), ("ерине", "first", 2, 4 | 32), ("ерину", "first", 2, 8), ("ериной", "first", 2, 16),
     ("ета", "first", 2, 1), ("еты", "first", 2, 2), ("ете", "first", 2, 4 | 32), ("ету", "first", 2, 8), ("етой", "first", 2, 16), ("анна", "first", 2, 1), ("анны", "first", 2, 2), ("анне", "first", 2, 4 | 32), ("анну", "first", 2, 8), ("анной", "first", 2, 16),
     ("р", "first", 1, 1), ("ра", "first", 1, 2 | 8), ("ру", "first", 1, 4), ("ром", "first", 1, 16), ("ре", "first", 1, 32), ("ан", "first", 1, 1), ("ана", "first", 1, 2 | 8), ("ану", "first", 1, 4), ("аном", "first", 1, 16), ("ане", "first", 1, 32),
 ]

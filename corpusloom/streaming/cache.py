@@ -70,9 +70,9 @@ def replay(requests: DataFrame, budget: int, share: float = 0.25) -> DataFrame:
 
 class _Owner(StatefulProcessor):
     """The cache of an owner as a map of phrase to (size, turn) and the number of turns so far; an owner
-    who is silent for ``silence_ms`` loses it."""
+    who is silent for ``silence_ms`` loses it (never, if that is None)."""
 
-    def __init__(self, budget: int, share: float, silence_ms: int):
+    def __init__(self, budget: int, share: float, silence_ms: int | None):
         self.budget, self.share, self.silence_ms = budget, share, silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -98,10 +98,11 @@ class _Owner(StatefulProcessor):
             self.phrases.removeKey((phrase,))
         for phrase in last.keys() & cache.held.keys():
             self.phrases.updateValue((phrase,), (cache.held[phrase], last[phrase]))
-        if timer:
-            self.handle.deleteTimer(timer)
-        timer = timerValues.getCurrentProcessingTimeInMs() + self.silence_ms
-        self.handle.registerTimer(timer)
+        if self.silence_ms is not None:
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.silence_ms
+            self.handle.registerTimer(timer)
         self.turns.update((turn, timer))
         yield pd.DataFrame({"owner": key[0], "phrase": frame["phrase"], "ts": frame["ts"], "hit": hits, "evicted": pd.Series(gone, index=frame.index, dtype="int32")})
 
@@ -114,11 +115,12 @@ class _Owner(StatefulProcessor):
         pass
 
 
-def cached(requests: DataFrame, budget: int, share: float = 0.25, silence_ms: int = 86_400_000) -> DataFrame:
+def cached(requests: DataFrame, budget: int, share: float = 0.25, silence_ms: int | None = None) -> DataFrame:
     """``replay`` on a stream: each batch's requests of an owner in order of ts and phrase, batches in the
-    order they come. Needs a state store that keeps maps (RocksDB)."""
+    order they come. Needs a state store that keeps maps (RocksDB). With ``silence_ms`` the query watches
+    the clock, so it never ends by itself, not even with a trigger that takes what is there."""
     kind = dict(requests.dtypes)["owner"]
     rows = requests.select("owner", "phrase", F.col("size").cast("long").alias("size"), F.col("ts").cast("timestamp").alias("ts")).where("owner is not null and phrase is not null")
     return rows.groupBy("owner").transformWithStateInPandas(
-        statefulProcessor=_Owner(budget, share, silence_ms), outputStructType=_OUT.format(kind=kind), outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=_Owner(budget, share, silence_ms), outputStructType=_OUT.format(kind=kind), outputMode="Append", timeMode="None" if silence_ms is None else "ProcessingTime"
     )
