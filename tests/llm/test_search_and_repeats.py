@@ -63,7 +63,7 @@ def test_search_equals_plain_search(spark, given):
     items = [(1, "alpha beta"), (2, "Étè ñ1 日本 gamma"), (2, "one two three one"), (None, "z" * 70), (4, None), (5, ""), (6, "unheard of")]
     asked = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, query string")
     want = sorted(plain_search(given, items), key=key)
-    for options in ({}, {"block_bytes": 1}, {"vocabulary_bytes": 0}):
+    for options in ({}, {"block_bytes": 400}, {"vocabulary_bytes": 0}):
         got = sorted(map(tuple, lexsearch.search(frame(spark, given), asked, **options).collect()), key=key)
         assert got == want
     assert lexsearch.search(frame(spark, given).where("false"), asked).count() == 0
@@ -251,6 +251,6 @@ def test_packed_columns_return():
 
 
 def test_queries_have_the_contracts_columns(spark):
-    assert queries.op11_resample(spark).dtypes == [("doc_id", "bigint"), ("n_features", "bigint"), ("weight", "bigint"), ("score", "bigint"), ("rank", "bigint")]
-    assert queries.op12_suffix_dedup(spark).dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
-    assert queries.op13_ranked_search(spark).dtypes == [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
+    assert queries.op11_resample(spark, SF).dtypes == [("doc_id", "bigint"), ("n_features", "bigint"), ("weight", "bigint"), ("score", "bigint"), ("rank", "bigint")]
+    assert queries.op12_suffix_dedup(spark, SF).dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    assert queries.op13_ranked_search(spark, SF).dtypes == [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
