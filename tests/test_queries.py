@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corpusloom.plans import examples, registry, spoken, surveys  # noqa: F401
+from corpusloom.plans import annotate, examples, media, personal, registry, spoken, stress, surveys, wordlists  # noqa: F401
 
 from .conftest import SF
 
