@@ -190,3 +190,18 @@ def sources(tracked: Column) -> Column:
         return F.flatten(F.transform(pieces, one))
 
     return let(tracked["pieces"], spread)
+
+
+def source_sum(tracked: Column) -> Column:
+    """The sum of ``sources``, each weighted by its place from 1, piece by piece and without the single places."""
+
+    def spread(pieces: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            n = (F.coalesce(F.get(pieces, i + 1)["at"], x["at"]) - x["at"]).cast("long")
+            at, src, step = x["at"].cast("long") + 1, x["src"].cast("long"), x["kept"].cast("long")
+            first, second = n * (n - 1), n * (n - 1) * (2 * n - 1)  # twice the sum of k, six times that of its squares, for k below n
+            return n * src * at + (src + step * at) * F.shiftright(first, 1) + step * (second / 6).cast("long")
+
+        return F.aggregate(F.transform(pieces, one), F.lit(0).cast("long"), lambda a, b: a + b)
+
+    return let(tracked["pieces"], spread)
