@@ -82,8 +82,9 @@ def surnames(texts: DataFrame, table: DataFrame, key: str, text: str = "text") -
     with a capital and not at the beginning of a sentence or of someone's words."""
     pattern = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
     t = F.col(text)
-    words, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
-    each = F.transform(words, lambda w, i: F.struct(w.alias("token"), F.get(gaps, i).alias("gap")))
+    parts = F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("words"), F.split(t, pattern, -1).alias("gaps"))
+    # bound once: in the lambda a text would be split again for each of its words
+    each = let(parts, lambda p: F.transform(p["words"], lambda w, i: F.struct(w.alias("token"), F.get(p["gaps"], i).alias("gap"))))
     rows = texts.select(key, F.posexplode(each).alias("tok_no", "w")).select(key, "tok_no", "w.*")
     inside = rows.where((F.col("tok_no") > 0) & F.col("token").rlike(r"^\p{Lu}\p{Ll}") & ~F.col("gap").rlike(r"[.!?…:\n«\"“—–]"))
     return with_dimension(inside.withColumn("word", F.lower("token")), table.select(F.lower("word").alias("word"), "variant"), "word", "inner").select(key, "tok_no", "token", "variant")
