@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.regexmap import upper_letter
 from ..operators import homographs as H
 from ..operators import paradigm as D
 from ..operators import yo as Y
@@ -30,7 +31,7 @@ found AS (SELECT doc_id, tok_no, token, coalesce(a.word, CASE WHEN b.capital THE
 def _dots(spark, sf_dir):
     kind = F.col("item_id") % 3
     d = F.expr("regexp_replace(w, '^([^e]*)e', '$1ë')")
-    word = F.when(kind == 2, F.concat(F.upper(F.substring(d, 1, 1)), F.substring(d, F.lit(2), F.length(d)))).otherwise(d)
+    word = F.when(kind == 2, F.concat(upper_letter(F.substring(d, 1, 1)), F.substring(d, F.lit(2), F.length(d)))).otherwise(d)
     lines = _bench(spark, sf_dir).where(F.col("w").contains("e")).select(F.concat(F.when(kind == 0, "_").otherwise(""), word, F.lit("  # from the benchmark")).alias("value"))
     return Y.table(Y.entries(lines, "ëË", "eE"), "ëË")
 
