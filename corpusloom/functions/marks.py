@@ -45,8 +45,9 @@ def blanked_markers(text: Column) -> Column:
 
 def exclamation_focus(text: Column, words: int = 4) -> Column:
     """Stars around the last word of an exclamation of at most ``words`` words."""
-    short = text.rlike(rf"^\s*(?:[\p{{L}}\p{{N}}'’-]+[\s,]*){{1,{words}}}!+\s*$")
-    return F.when(short, F.regexp_replace(text, r"([\p{L}\p{N}'’-]+)(?=!+\s*$)", r"*$1*")).otherwise(text)
+    # possessive: a long word isn't tried as several short ones, nor from each of its letters
+    short = text.rlike(rf"^\s*+(?:[\p{{L}}\p{{N}}'’-]++[\s,]*+){{1,{words}}}+!++\s*+$")
+    return F.when(short, F.regexp_replace(text, r"(?<![\p{L}\p{N}'’-])([\p{L}\p{N}'’-]++)(?=!++\s*+$)", r"*$1*")).otherwise(text)
 
 
 def stretched(accented: Column) -> Column:

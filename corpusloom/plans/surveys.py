@@ -201,7 +201,8 @@ FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+!+')) AS text FRO
 """)
 def exclamation_focus(spark, sf_dir):
     """Every exclamation of every document with its focus marked where it is short."""
-    s = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+!+"), F.lit(0))).alias("text"))
+    # every stretch without a stop, and of these the ones with a mark: else one without would be tried from each character
+    s = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]++!*+"), F.lit(0))).alias("text")).where(F.col("text").endswith("!"))
     return s.select("doc_id", M.exclamation_focus(F.col("text")).alias("text"))
 
 
