@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the alphanumeric words of the benchmark, lower-cased. Their document frequencies are
-   counted over all documents, for all items in one pass.
+1. Terms are the alphanumeric words of the benchmark, lower-cased. Every document is written once as
+   its words' term numbers, which all later passes read. Document frequencies are counted over all
+   documents, for all items in one pass.
 2. A randomised singular value decomposition of the TF-IDF passages gives a latent space: a
    Gaussian sketch of ``rank`` and ``oversample`` columns is multiplied by the passages and their
    transpose, on the executors, for a few power iterations, between which the driver
    orthogonalises it; the eigenvectors of the small matrix that the last product leaves turn it
    into the ``rank`` strongest right singular vectors. The passages are the benchmark's and those of
-   about ``fit_docs`` whole documents drawn by a hash of the id, of the lesser weight
-   ``sample_weight``, so that the items shape the space.
+   all documents, of the lesser weight ``sample_weight``, and together of no more than ``fit_docs``
+   documents have on average, so that the items shape the space however many documents there are.
 3. Every passage (a window of ``window`` words, one every half window) of every document is embedded
    and compared with every item by cosine. Passages whose benchmark terms weigh too little to
    cover any item are skipped first.
@@ -19,7 +20,7 @@
 Items are handled in blocks of at most ``items_per_rank`` times ``rank``, so that the space has room
 for a block's items. Items of which it holds less than the share ``held`` of their norm are searched
 in further blocks of at most ``rank`` items, whose own span is the space and holds them whole. One
-pass over the documents searches as many blocks as ``pass_bytes`` of broadcast hold.
+pass over the documents fits or searches as many blocks as ``pass_bytes`` of broadcast hold.
 
 Cases: null or empty texts hold no passage; items of fewer than ``least_words`` words are no
 evidence and never match; repeated items each give a row; an empty benchmark gives no rows; columns
@@ -28,8 +29,9 @@ other than doc_id, item_id and text play no part, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -78,11 +80,20 @@ class Items:
     vocabulary: np.ndarray  # sorted hashes
     idf: np.ndarray | None = None
     basis: np.ndarray | None = None  # terms x rank
+    among: np.ndarray | None = None  # the terms' ids in the whole benchmark, sorted, if this is a block of it
 
     def part(self, at: np.ndarray) -> Items:
         """The items at these places, with the same terms and the same space."""
         return replace(self, ids=[self.ids[i] for i in at], words=[self.words[i] for i in at], answers=[self.answers[i] for i in at])
 
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """This block's term ids for those of the whole benchmark, -1 for terms of other blocks."""
+        if self.among is None:
+            return at
+        ids = np.full(max(int(at.max(initial=-1)), int(self.among[-1])) + 2, -1)
+        ids[self.among] = np.arange(len(self.among))
+        return ids[at]  # -1 takes the last place
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Term ids of word hashes, -1 for words that are no term."""
         if not len(self.vocabulary):
@@ -115,19 +126,52 @@ def read_items(rows: list[tuple[int, str]], least: int) -> Items:
     return Items(ids, [np.searchsorted(vocabulary, h) for h in hashes], answers, vocabulary)
 
 
-def _frequencies(items: Items):
+def _encode(shared, kind: str):
+    """Every document's words as term ids (-1 for words that are no term), integers of type ``kind``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs = np.zeros(len(items.vocabulary), np.int64), 0
+        width = np.dtype(kind).itemsize
         for batch in batches:
             forget()
+            out: list[bytes] = []
             for _, _, t in K.pieces(batch.column("text")):
                 h, bounds, _, _ = terms_of(t)
-                at = items.find(h)
-                owner = np.repeat(np.arange(t.n), np.diff(bounds))
+                data = shared.value.find(h).astype(kind).tobytes()
+                out += [data[a:b] for a, b in pairwise((bounds * width).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "terms"])
+
+    return run
+
+
+def _decoded(batch: pa.RecordBatch, kind: str, limit: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Consecutive runs of encoded rows with at most ``limit`` words (or one row): the first row, the
+    term ids, and their bounds by row."""
+    terms = batch.column("terms").cast(pa.large_binary())
+    if not len(terms):
+        return
+    width = np.dtype(kind).itemsize
+    offsets = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1]
+    data = terms.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    a = 0
+    while a < len(terms):
+        b = int(np.searchsorted(offsets, offsets[a] + limit * width, "right")) - 1
+        b = min(max(b, a + 1), len(terms))
+        yield a, raw[offsets[a] : offsets[b]].view(kind).astype(np.int64), (offsets[a : b + 1] - offsets[a]) // width
+        a = b
+
+
+def _frequencies(n: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs = np.zeros(n, np.int64), 0
+        for batch in batches:
+            forget()
+            for _, at, bounds in _decoded(batch, kind):
+                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 hit = at >= 0
-                pairs = pd.unique(owner[hit] * len(items.vocabulary) + at[hit])
-                df += np.bincount(pairs % len(items.vocabulary), minlength=len(items.vocabulary))
-                docs += t.n
+                pairs = pd.unique(owner[hit] * n + at[hit])
+                df += np.bincount(pairs % n, minlength=n)
+                docs += len(bounds) - 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(df[some], docs), pa.int64())], names=["term", "n"])
 
@@ -162,43 +206,88 @@ def _row(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray] | No
     return (term, w / norm) if norm > 0 else None
 
 
-def _partial_product(items: Items, sketch: np.ndarray, settings: Settings):
+def _product(at: np.ndarray, bounds: np.ndarray, idf: np.ndarray, sketch: np.ndarray, size: int) -> np.ndarray:
+    """What ``_multiply`` gives for all windows of some texts: few windows at a time, which share
+    most of their terms, as a dense matrix."""
+    out = np.zeros_like(sketch)
+    first, last, _ = _windows(at, bounds, size)
+    hit = np.flatnonzero(at >= 0)
+    start = np.searchsorted(hit, first)
+    n = np.searchsorted(hit, last) - start
+    window = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(window)) - np.repeat(np.cumsum(n) - n - start, n)
+    key, count = np.unique(window * len(idf) + at[hit[place]], return_counts=True)
+    window, term = np.divmod(key, len(idf))
+    weight = count * idf[term]
+    weight = (weight / np.sqrt(np.bincount(window, weight * weight))[window]).astype(sketch.dtype)
+    some, column = np.zeros(len(idf), bool), np.zeros(len(idf), np.int64)
+    height = 64
+    for a, b in pairwise(np.searchsorted(window, np.arange(0, len(n) + height, height)).tolist()):
+        some[term[a:b]] = True
+        used = np.flatnonzero(some)
+        some[used] = False
+        column[used] = np.arange(len(used))
+        dense = np.zeros((height, len(used)), sketch.dtype)
+        dense[window[a:b] % height, column[term[a:b]]] = weight[a:b]
+        out[used] += dense.T @ (dense @ sketch[used])
+    return out
+
+
+def _partial_products(shared, kind: str, size: int, slice_: int):
+    """The products of a task's passages with the sketches of several blocks, in numbered slices of
+    ``slice_`` terms."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(sketch)
+        total = [np.zeros(sketch.shape) for _, sketch in shared.value]
         for batch in batches:
-            for _, _, t in K.pieces(batch.column("text")):
-                h, bounds, _, _ = terms_of(t)
-                at = items.find(h)
-                rows = [_row(at[a:b], items.idf) for a, b, _ in zip(*_windows(at, bounds, settings.window), strict=True)]
-                total += settings.sample_weight**2 * _multiply([r for r in rows if r], sketch)
-        some = np.flatnonzero(np.abs(total).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["term", "row"])
+            forget()
+            for _, at, bounds in _decoded(batch, kind):
+                for (block, sketch), sums in zip(shared.value, total, strict=True):
+                    sums += _product(block.own(at), bounds, block.idf, sketch, size)
+        for k, sums in enumerate(sums[a : a + slice_] for sums in total for a in range(0, len(sums), slice_)):
+            if sums.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([sums.astype(np.float32).tobytes()])], names=["slice", "sums"])
 
     return run
 
 
-def randomised_svd(sample: DataFrame, items: Items, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The strongest right singular vectors (terms, rank) and their singular values."""
-    n = len(items.vocabulary)
-    width = min(settings.rank + settings.oversample, n)
-    sketch, _ = np.linalg.qr(np.random.default_rng(settings.seed).standard_normal((n, width)))
-    own = [r for r in (_row(w, items.idf) for w in items.words) if r]
+def randomised_svds(encoded: DataFrame, blocks: list[Items], settings: Settings, weight: float = 1.0, kind: str = "int64") -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each block, the strongest right singular vectors (terms, rank) and their singular values
+    of its items' passages and, times the square root of ``weight``, those of all documents."""
+    spark = encoded.sparkSession
+    slice_ = 64
+    sketches = [np.linalg.qr(np.random.default_rng(settings.seed).standard_normal((n, min(settings.rank + settings.oversample, n))))[0] for n in (len(b.vocabulary) for b in blocks)]
+    own = [[r for r in (_row(w, b.idf) for w in b.words) if r] for b in blocks]
+    slices = [(block, a) for block, sketch in enumerate(sketches) for a in range(0, len(sketch), slice_)]
+    parts = min(len(slices), int(spark.conf.get("spark.sql.shuffle.partitions")))
     for k in range(settings.iterations + 1):
-        product = _multiply(own, sketch)
-        parts = sample.mapInArrow(_partial_product(items, sketch, settings), "term long, row array<double>")
-        sums = parts.select("term", F.posexplode("row").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x"))
-        for r in sums.toLocalIterator():  # terms x width numbers
-            product[r.term, r.k] += r.x
+        products = [_multiply(rows, sketch) for rows, sketch in zip(own, sketches, strict=True)]
+        bare = [replace(b, ids=[], words=[], answers=[]) for b in blocks]
+        shared = spark.sparkContext.broadcast([(b, sketch.astype(np.float32)) for b, sketch in zip(bare, sketches, strict=True)])
+        sums = encoded.mapInArrow(_partial_products(shared, kind, settings.window, slice_), "slice long, sums binary").rdd
+        for at, x in sums.map(lambda r: (r.slice, np.frombuffer(r.sums, np.float32).astype(float))).reduceByKey(np.add, parts).collect():  # terms x width numbers
+            block, a = slices[at]
+            product = products[block][a : a + slice_]
+            product += weight * x.reshape(product.shape)
+        shared.destroy()
         if k < settings.iterations:
-            sketch, _ = np.linalg.qr(product)
-    small_, turn = np.linalg.eigh(sketch.T @ product)  # the passages' product within the sketch's span
-    strongest = np.argsort(-small_)[: min(settings.rank, n)]
-    return sketch @ turn[:, strongest], np.sqrt(np.maximum(small_[strongest], 0))
+            sketches = [np.linalg.qr(product)[0] for product in products]
+    out = []
+    for sketch, product in zip(sketches, products, strict=True):
+        small_, turn = np.linalg.eigh(sketch.T @ product)  # the passages' product within the sketch's span
+        strongest = np.argsort(-small_)[: min(settings.rank, len(sketch))]
+        out.append((sketch @ turn[:, strongest], np.sqrt(np.maximum(small_[strongest], 0))))
+    return out
 
 
-def spaces(sample: DataFrame, items: Items, settings: Settings) -> list[Items]:
+def randomised_svd(encoded: DataFrame, items: Items, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """``randomised_svds`` for one block."""
+    return randomised_svds(encoded, [items], settings)[0]
+
+
+def spaces(items: Items, basis: np.ndarray, settings: Settings) -> list[Items]:
     """``items`` in parts, each with a basis that holds at least the share ``held`` of each item's norm."""
-    items.basis, _ = randomised_svd(sample, items, settings)
+    items = replace(items, basis=basis)
     rows = [_row(w, items.idf) for w in items.words]
     share = np.array([np.linalg.norm(w @ items.basis[term]) for term, w in rows])
     strong, weak = np.flatnonzero(share >= settings.held), np.flatnonzero(share < settings.held)
@@ -266,19 +355,18 @@ class _Finder:
         self.step = step
         self.flag = np.zeros(len(idf) + 1, bool)
 
-    def find(self, t: K.Texts, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """Text, item and cover of what the texts hold."""
+    def find(self, at: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Text, item and cover of what the texts of these term ids hold."""
         items, settings, step, space = self.items, self.settings, self.step, self.space
         idf = items.idf
-        at = items.find(h)
         # words in blocks of half a window, each text padded to whole blocks
         n = np.diff(bounds)
         per = -(-n // step)
         start = np.cumsum(per) - per
         blocks = np.full((int(per.sum()), step), len(idf))
-        owner = np.repeat(np.arange(t.n), n)
+        owner = np.repeat(np.arange(len(n)), n)
         blocks.reshape(-1)[start[owner] * step + np.arange(len(at)) - bounds[owner]] = np.where(at >= 0, at, len(idf))
-        text = np.repeat(np.arange(t.n), per)
+        text = np.repeat(np.arange(len(n)), per)
         mass = np.append(self.square[blocks].sum(1), 0)
         # a window is a block and the next one of its text; a lone block is one too
         alone = per[text] == 1
@@ -325,17 +413,16 @@ class _Finder:
                 yield doc, items.ids[item], best
 
 
-def _search(shared, settings: Settings):
+def _search(shared, kind: str, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders = [_Finder(part, settings) for part in shared.value]
         for batch in batches:
             forget()
             ids = batch.column("doc_id").to_pylist()
             out: list[tuple[int, int, float]] = []
-            for base, _, t in K.pieces(batch.column("text")):
-                h, bounds, _, _ = terms_of(t)
+            for base, at, bounds in _decoded(batch, kind):
                 for finder in finders:
-                    out += [(ids[base + doc], item, cover) for doc, item, cover in finder.find(t, h, bounds)]
+                    out += [(ids[base + doc], item, cover) for doc, item, cover in finder.find(finder.items.own(at), bounds)]
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["doc_id", "item_id", "cover"])
 
@@ -348,7 +435,21 @@ def _blocks(items: Items, most: int, seed: int) -> Iterator[Items]:
     for k in range(0, len(order), most):
         part = items.part(order[k : k + most])
         used = np.unique(np.concatenate(part.words))
-        yield replace(part, words=[np.searchsorted(used, w) for w in part.words], vocabulary=items.vocabulary[used], idf=items.idf[used])
+        yield replace(part, words=[np.searchsorted(used, w) for w in part.words], vocabulary=items.vocabulary[used], idf=items.idf[used], among=used)
+
+
+def _within(parts: Iterable[Items], size: Callable[[Items], int], most: int) -> Iterator[list[Items]]:
+    """``parts`` in runs of at most ``most`` bytes, or of one."""
+    run: list[Items] = []
+    room = most
+    for part in parts:
+        if run and room < size(part):
+            yield run
+            run, room = [], most
+        run.append(part)
+        room -= size(part)
+    if run:
+        yield run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -358,28 +459,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     listed = benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator()
     items = read_items([(r.item_id, r.text) for r in listed], settings.least_words)
-    empty = spark.createDataFrame([], "doc_id long, item_id long, cover double")
+    total = spark.createDataFrame([], "doc_id long, item_id long, cover double")
     if not items.ids:
-        return empty
-    counted = {r.term: r.n for r in rows.select("text").mapInArrow(_frequencies(items), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
+        return total
+    n_terms = len(items.vocabulary)
+    kind = np.min_scalar_type(-n_terms).name
+    shared = spark.sparkContext.broadcast(replace(items, ids=[], words=[], answers=[]))
+    encoded = materialise(rows.mapInArrow(_encode(shared, kind), "doc_id long, terms binary"))
+    shared.destroy()
+    tasks = spark.sparkContext.defaultParallelism
+    if encoded.rdd.getNumPartitions() < tasks:  # few large row groups: small enough to be dealt out
+        encoded = materialise(encoded.repartition(tasks))
+    counted = {r.term: r.n for r in encoded.mapInArrow(_frequencies(n_terms, kind), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     n = counted.get(-1, 0)
-    items.idf = np.log((n + 1) / (np.array([counted.get(i, 0) for i in range(len(items.vocabulary))]) + 1)) + 0.05
-    # whole documents, drawn by a hash of the id
-    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    drawn = materialise(rows.where(draw < settings.fit_docs / max(n, 1)).select("text"))
-    passes: list[list[Items]] = [[]]
-    room = settings.pass_bytes
-    for block in _blocks(items, max(1, settings.items_per_rank * settings.rank), settings.seed):
-        for part in spaces(drawn, block, settings):
-            if passes[-1] and room < part.basis.nbytes:
-                passes.append([])
-                room = settings.pass_bytes
-            passes[-1].append(part)
-            room -= part.basis.nbytes
-    total = empty
-    for blocks in passes:
-        shared = spark.sparkContext.broadcast(blocks)
-        total = total.union(rows.mapInArrow(_search(shared, settings), "doc_id long, item_id long, cover double"))
+    items.idf = np.log((n + 1) / (np.array([counted.get(i, 0) for i in range(n_terms)]) + 1)) + 0.05
+    weight = settings.sample_weight**2 * min(1.0, settings.fit_docs / max(n, 1))
+    width = 8 * (settings.rank + settings.oversample)
+    fitted = (
+        part
+        for run in _within(_blocks(items, max(1, settings.items_per_rank * settings.rank), settings.seed), lambda b: len(b.vocabulary) * width, settings.pass_bytes)
+        for block, (basis, _) in zip(run, randomised_svds(encoded, run, settings, weight, kind), strict=True)
+        for part in spaces(block, basis, settings)
+    )
+    for run in _within(fitted, lambda p: p.basis.nbytes, settings.pass_bytes):
+        shared = spark.sparkContext.broadcast(run)
+        total = total.union(encoded.mapInArrow(_search(shared, kind, settings), "doc_id long, item_id long, cover double"))
     return total
 
 

@@ -103,6 +103,51 @@ def test_singular_vectors(spark):
     assert np.linalg.norm(right[:4] @ basis, axis=1).min() > 0.98
 
 
+@pytest.mark.parametrize("items_per_rank", [4, 1])
+def test_the_latent_space_is_fitted_on_every_document(spark, monkeypatch, items_per_rank):
+    """Against numpy's decomposition of the passages of all documents, of one block of items or two."""
+    rng = random.Random(4)
+    topics = [[f"t{i}w{k}" for k in range(5)] for i in range(6)]
+    items = [(i, " ".join(rng.choice(rng.choice(topics)) for _ in range(12))) for i in range(12)]
+    rows = [(k if k % 50 else None, " ".join(rng.choice([*topics[min(k % 11, 5)], "other"]) for _ in range(rng.choice([0, 7, 40, 90, 131])))) for k in range(400)] + [(400, None)]
+    seen = []
+    search = decontam._search
+    monkeypatch.setattr(decontam, "_search", lambda shared, *more: seen.extend(shared.value) or search(shared, *more))
+    chosen = decontam.Settings(rank=8, oversample=22, iterations=6, fit_docs=4, sample_weight=1.0, held=0.0, items_per_rank=items_per_rank)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), chosen).count()
+    assert len(seen) == (1 if items_per_rank == 4 else 2)
+    texts = [t for _, t in rows if t is not None]
+    for block in seen:
+        gram = np.zeros((len(block.vocabulary), len(block.vocabulary)))
+        for w in block.words:
+            term, weight = decontam._row(w, block.idf)
+            gram[np.ix_(term, term)] += np.outer(weight, weight)
+        for t in texts:
+            words = t.split()
+            raw = np.frombuffer(t.encode(), np.uint8)
+            at = block.find(decontam.terms_of(textkernel.Texts(raw, np.array([0, len(raw)])))[0])
+            for first in sorted({min(a, max(len(words) - 32, 0)) for a in range(0, max(len(words) - 16, 1), 16)} if words else []):
+                if row := decontam._row(at[first : first + 32], block.idf):
+                    gram[np.ix_(row[0], row[0])] += 4 / len(texts) * np.outer(row[1], row[1])
+        _, right = np.linalg.eigh(gram)
+        assert np.linalg.norm(block.basis.T @ right[:, -4:], axis=0).min() > 0.9999
+        # each of the found directions, and not their span alone
+        assert np.allclose(np.abs(np.sum(block.basis[:, :3] * right[:, :-4:-1], axis=0)), 1, atol=1e-3)
+
+
+def test_encoded_rows_come_back_in_bounded_runs():
+    for kind in ("int8", "int16", "int32"):
+        rows = [np.array(r, kind) for r in ([3, -1, 100], [], [7], [1] * 9, [], [-1, 2])]
+        batch = pa.RecordBatch.from_arrays([pa.array([b"skipped", *(r.tobytes() for r in rows)], pa.binary())], names=["terms"]).slice(1)
+        got, most = [], 0
+        for base, at, bounds in decontam._decoded(batch, kind, limit=4):
+            assert base == len(got)
+            got += [at[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+            most = max(most, len(at) if len(bounds) > 2 else 0)
+        assert got == [r.tolist() for r in rows] and most <= 4
+
+
 def test_items_that_the_rank_cannot_hold_are_found(spark):
     rng = random.Random(8)
     topic = [f"t{i}" for i in range(60)]
