@@ -330,6 +330,33 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, settings: Setti
     return materialise(compared.where(F.col("similarity") >= settings.similarity).select("a", "b"))
 
 
+def _across(open_: DataFrame, docs: DataFrame, nodes: DataFrame, known: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of members of one band in different components that may be similar enough and
+    aren't ``known``: whoever is outside the band's largest component, with all its members."""
+    texts = _texts_of(open_.select("key").distinct(), docs, nodes)
+    open_ = open_.join(texts.select("key", _short_hashes(settings.words)("text").alias("short")), "key")
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / settings.block)).alias("part")
+    blocks = [
+        rows.groupBy("band", part).agg(F.collect_list(F.struct("key", "root", "short")).alias(name)).drop("part")
+        for rows, name in ((open_.where("root <> largest"), "left"), (open_, "right"))
+    ]
+    pairs = blocks[0].join(blocks[1], "band").select(F.explode(_block_column(settings.similarity)("left", "right")).alias("p")).select("p.*").distinct()
+    return materialise(pairs.join(known, ["a", "b"], "left_anti"))
+
+
+def _rerooted(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` (key, root and others) after ``links`` (a, b) between keys of different components:
+    only the roots that they join are contracted, not all links again. A root is its component's
+    least key, so the least of joined roots is the least key of all."""
+    if links.isEmpty():
+        return placed
+    at = placed.select("key", "root")
+    ends = links.join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    higher = materialise(components(ends).select(F.col("node").alias("root"), F.col("root").alias("higher")))
+    moved = placed.join(small(higher, higher.count()), "root", "left")
+    return materialise(moved.select(*[F.coalesce("higher", "root").alias("root") if c == "root" else c for c in placed.columns]))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id and class_id of every row of ``docs`` (doc_id, text)."""
     return classes(docs, settings).select("doc_id", "class_id")
@@ -352,26 +379,18 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     stars = stars.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("left")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("right")), "b")
     stars = materialise(stars.where(_likely_column(settings)("left", "right")).select("a", "b"))
     links = _linked(stars, docs, nodes, settings)
-    roots = components(links)
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    placed = nodes.select("key", "doc_id", "copies").join(roots, "key", "left")
+    placed = materialise(placed.select("key", "doc_id", "copies", F.coalesce("root", "key").alias("root")))
     # bands that still span several components: whoever is outside the largest is compared in blocks
-    at = members.select("band", "key", "n").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
-    at = materialise(at)
+    at = materialise(members.select("band", "key", "n").join(placed.select("key", "root"), "key").select("band", "key", "n", "root"))
     sizes = at.groupBy("band", "root").agg(F.count("*").alias("size"))
     split = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("band", "largest")
     open_ = materialise(at.join(split, "band"))
-    texts = _texts_of(open_.select("key").distinct(), docs, nodes)
-    open_ = open_.join(texts.select("key", _short_hashes(settings.words)("text").alias("short")), "key")
-    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / settings.block)).alias("part")
-    blocks = [
-        rows.groupBy("band", part).agg(F.collect_list(F.struct("key", "root", "short")).alias(name)).drop("part")
-        for rows, name in ((open_.where("root <> largest"), "left"), (open_, "right"))
-    ]
-    across = blocks[0].join(blocks[1], "band").select(F.explode(_block_column(settings.similarity)("left", "right")).alias("p")).select("p.*").distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    more = _linked(materialise(across), docs, nodes, settings)
-    roots = components(links.union(more))
-    placed = nodes.select("key", "doc_id", "copies").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-    placed = materialise(placed.select("key", "doc_id", "copies", F.coalesce("root", "key").alias("root")))
+    if not open_.isEmpty():
+        across = _across(open_, docs, nodes, stars, settings)
+        if not across.isEmpty():
+            placed = _rerooted(placed, _linked(across, docs, nodes, settings))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("best")
     of = placed.join(placed.groupBy("root").agg(best), "root").select("key", F.col("copies").alias("n"), "root", F.struct("best.doc_id", "best.key").alias("best"))
     of = materialise(of)

@@ -379,6 +379,23 @@ def test_recall_of_links_just_above_the_threshold(spark):
     assert sum(got[b] == a for b, a in want.items()) >= 0.99 * len(want) and all(got[a] == a for a in want.values())
 
 
+def test_later_links_contract_roots_only(spark, monkeypatch):
+    seen, plain = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda edges: (seen.append(edges.distinct().count()), plain(edges))[1])
+    words = [f"w{i}" for i in range(60)]
+    rows = [(g * 100 + i, " ".join([*(f"{g}{w}" for w in words), f"end{i}"])) for g in range(4) for i in range(6)]
+    rows += [(900 + i, " ".join(f"own{i}{w}" for w in words)) for i in range(10)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d // 100 * 100 if d < 900 else d for d, _ in rows}
+    assert len(seen) == 1  # no band spans two components: nothing is contracted again
+
+    seen.clear()
+    placed = spark.createDataFrame([(k, k // 10 * 10) for k in range(40)] + [(70, 70)], "key long, root long")
+    out = neardup._rerooted(placed, spark.createDataFrame([(13, 25), (29, 70), (11, 26)], "a long, b long"))
+    assert {r.key: r.root for r in out.collect()} == {k: min(k // 10 * 10, 10) if k < 30 else 30 for k in range(40)} | {70: 10}
+    assert seen == [2]  # 10 and 20, 20 and 70
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.root) for r in neardup.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
